@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from evenstrand.llm import substring, suffix
+from evenstrand.llm import chat, pieces, simhash, substring, suffix, tokenfile, warc
 
 QUERIES = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_warc": warc.op5_warc,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
+    "op10_token_file": tokenfile.op10_token_file,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.OP5_SQL}
