@@ -88,7 +88,7 @@ def occurrences(base: DataFrame, unit: str, k: int, window: int) -> DataFrame:
 
 def shared(found: DataFrame) -> DataFrame:
     """Rows whose anchor has at least two rows."""
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = scratch.table(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")  # a table: Spark can then split a hot anchor's partition
     return found.join(often, "anchor", "left_semi")
 
 
