@@ -121,7 +121,7 @@ def _sql_line_passes(line: str) -> str:
 OP2_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM documents
 ), g AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n
@@ -132,7 +132,7 @@ WITH d AS (
   SELECT d.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-         length(regexp_replace(array_to_string(list_filter(lines, x -> {_sql_line_passes("x")}), ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS clean_chars
+         length(regexp_replace(array_to_string(list_filter(lines, lambda x: {_sql_line_passes("x")}), ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS clean_chars
   FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 ), f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
