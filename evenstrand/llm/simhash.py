@@ -78,9 +78,11 @@ def links(fps: DataFrame) -> DataFrame:
     low = F.lit(0xFFFFFFFF)
     segment = F.when(F.col("j") < 32, F.col("fp").bitwiseAND(low)).otherwise(F.shiftrightunsigned("fp", 32))
     clear = F.bitwise_not(F.expr("shiftleft(1L, cast(j % 32 AS int))"))
+    spark = fps.sparkSession
     variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")).select("fp", F.expr("shiftleft(cast(j AS long), 32)").bitwiseOR(segment.bitwiseAND(clear)).alias("key"))
-    often = scratch.table(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = scratch.table(variants.join(often, "key"), "members")
+    dealt = variants.repartition(scratch.partitions(spark), "key")  # one exchange serves the count and the join
+    often = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.table(dealt.join(often.hint("shuffle_hash"), "key"), "members")
     cold = members.where(F.col("n") <= COLD).select("key", "fp")
     near = cold.alias("x").join(cold.alias("y"), F.expr("x.key = y.key AND x.fp < y.fp")).where(F.expr(f"bit_count(x.fp ^ y.fp) <= {DISTANCE}")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     hot = members.where(F.col("n") > COLD).select("fp").distinct()
