@@ -11,7 +11,7 @@ vocabulary needs.  Ids go into blocks of BLOCK, each padded to whole bytes.
 A reader takes any range of tokens from the blocks it touches, unpacked with numpy.
 
 Null texts count as empty: only the end id.  A null id sorts last and stays null.  Rows
-that repeat an id stand side by side, ordered by text.  Shard names carry the writing
+that repeat an id stand side by side, ordered by a hash of the text.  Shard names carry the writing
 attempt, and only shards in the returned list count, so a task that runs again leaves
 no double.
 """
@@ -36,7 +36,7 @@ MAGIC = b"EVENTOK1"
 FOOTER = struct.Struct("<6Q8s")
 BLOCK = 1 << 16
 #: Characters of words kept between batches; dropping them changes no result.
-CACHE = 4_000_000
+CACHE = 2_000_000
 #: Ids read at once.
 READ = 1 << 20
 
@@ -148,8 +148,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.held = 0
+        self.flat, self.sizes, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, the end id after each, and offsets."""
@@ -166,12 +165,13 @@ class WordEncoder:
             words += mine
         new = [w for w in dict.fromkeys(words) if w not in self.at]
         if new:
-            self.ids += [np.array(e.ids, np.uint32) for e in self.lib.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+            lists = [e.ids for e in self.lib.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.starts = np.cumsum(self.sizes) - self.sizes
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.held += sum(map(len, new))
-            self.sizes = np.array([len(x) for x in self.ids], np.int64)
-            self.starts = np.cumsum(self.sizes) - self.sizes
-            self.flat = np.concatenate(self.ids)
         used = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[used] if len(used) else used
         place = np.cumsum(sizes) - sizes
@@ -201,7 +201,7 @@ def write_shards(docs: DataFrame, out: str, path: str, end: int, id_col: str = "
     """
     spark = docs.sparkSession
     ship(spark)
-    dealt = docs.select(repeats.doc_key(id_col).alias("doc"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(scratch.partitions(spark), "doc", F.xxhash64("text")).sortWithinPartitions("doc", "text")
+    dealt = docs.select(repeats.doc_key(id_col).alias("doc"), F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).repartitionByRange(scratch.partitions(spark), "doc", "tie").sortWithinPartitions("doc", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

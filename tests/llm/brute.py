@@ -155,10 +155,12 @@ def op4(rows, path):
 
 
 def op10(rows, path):
+    import xxhash
     from tokenizers import Tokenizer
 
     t, start, out = Tokenizer.from_file(path), 0, []
-    for doc, text in sorted(rows, key=lambda r: (order(r[0]), (r[1] or "").encode())):
+    signed = lambda x: (x + 2**63) % 2**64 - 2**63
+    for doc, text in sorted(rows, key=lambda r: (order(r[0]), signed(xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42)))):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         out.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
