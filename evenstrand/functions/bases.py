@@ -41,7 +41,8 @@ def _each(bases: Column, quals: Column, value) -> Column:
     """A quality string from value(called, quality character code) at every place."""
     places = F.sequence(F.lit(1), F.length(bases))
     one = lambda i: F.char(value(F.lit(CALLED).contains(F.substring(bases, i, F.lit(1))), F.ascii(F.substring(quals, i, F.lit(1)))).cast("long"))
-    return F.when(F.length(bases) > 0, F.concat_ws("", F.transform(places, one))).when(quals.isNotNull(), F.lit(""))
+    made = F.when(F.length(bases) > 0, F.concat_ws("", F.transform(places, one))).otherwise("")
+    return F.when(quals.isNotNull(), made)
 
 
 def normalize_quality(bases, quals, offset: int = 33) -> Column:
