@@ -72,7 +72,7 @@ def id_of(doc: str = "doc") -> Column:
 
 
 def occurrences(base: DataFrame, unit: str, k: int, window: int) -> DataFrame:
-    """A row per anchor of each text: anchor, stretch, doc, tkey, first, last, at."""
+    """A row per anchor of each text: anchor, stretch, doc, tkey, place (first, last and at in one long: see unpacked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -80,10 +80,19 @@ def occurrences(base: DataFrame, unit: str, k: int, window: int) -> DataFrame:
                 values, offsets = tokens(encoded(batch), unit)
                 found = flat.anchors(values, offsets, k, window)
                 text = pa.array(found["text"])
-                yield pa.RecordBatch.from_arrays([pa.array(found["anchor"]), pa.array(found["stretch"]), batch.column("doc").take(text), batch.column("tkey").take(text), *(pa.array(found[c].astype(np.int32)) for c in ("first", "last", "at"))], ["anchor", "stretch", "doc", "tkey", "first", "last", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(found["anchor"]), pa.array(found["stretch"]), batch.column("doc").take(text), batch.column("tkey").take(text), pa.array(found["first"] << 32 | (found["last"] - found["first"]) << 16 | (found["at"] - found["first"]))], ["anchor", "stretch", "doc", "tkey", "place"])
 
+    if window >= 1 << 16:
+        raise ValueError("spans of 65,536 tokens or more are not supported")
     ship(base.sparkSession)
-    return base.mapInArrow(run, "anchor long, stretch long, doc long, tkey long, first int, last int, at int")
+    return base.mapInArrow(run, "anchor long, stretch long, doc long, tkey long, place long")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """rows with place as first, last, at; packed, rows take less room in the shuffles before."""
+    first = F.shiftright("place", 32)
+    part = lambda n: F.shiftright("place", n).bitwiseAND(F.lit(0xFFFF)) if n else F.col("place").bitwiseAND(F.lit(0xFFFF))
+    return rows.withColumns({"first": first.cast("int"), "last": (first + part(16)).cast("int"), "at": (first + part(0)).cast("int")}).drop("place")
 
 
 def shared(found: DataFrame) -> DataFrame:
@@ -93,11 +102,11 @@ def shared(found: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, lead: Column) -> DataFrame:
-    """rows with their class: n rows of equal stretch, the least `lead` of them, and whether the anchor has more classes."""
+    """rows, unpacked, with their class: n rows of equal stretch, the least `lead` of them, and whether the anchor has more classes."""
     found = scratch.table(rows.groupBy("anchor", "stretch").agg(F.min(lead).alias("lead"), F.count("*").alias("n")), "classes")
     several = scratch.table(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", F.lit(True).alias("several")), "several")
     info = scratch.table(found.join(several, "anchor", "left").where("n > 1 or several").withColumn("several", F.coalesce("several", F.lit(False))), "info")
-    return rows.join(info, ["anchor", "stretch"])
+    return unpacked(rows.join(info, ["anchor", "stretch"]))
 
 
 def spans_of(texts: DataFrame, rows: DataFrame, unit: str, window: int, with_bytes: bool) -> DataFrame:

@@ -146,8 +146,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_bytes, n_removed, spans (removed byte ranges, maximal), kept (the bytes left, which may split a character)."""
     texts = repeats.keyed(docs, id_col, text_col).repartition(scratch.partitions(docs.sparkSession), *repeats.KEY)
     found = scratch.table(repeats.occurrences(repeats.keyed(docs, id_col, text_col), "byte", gram, span), "anchors")
+    rows = repeats.classes(scratch.table(repeats.shared(found), "shared"), F.xxhash64("doc", "tkey", F.shiftright("place", 32).cast("int")))
     me = F.xxhash64("doc", "tkey", "first")
-    rows = repeats.classes(scratch.table(repeats.shared(found), "shared"), me)
     whole = rows.where("n > 1").select(*repeats.KEY, F.col("first").alias("start"), (F.col("last") + span).alias("end"))
     open_rows = rows.where((me == F.col("lead")) & F.col("several")).select(*repeats.KEY, "anchor", "first", "last", "at", "n")
     spans = repeats.spans_of(texts, open_rows, "byte", span, True)
