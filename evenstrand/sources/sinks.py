@@ -17,7 +17,7 @@ from evenstrand.sources.reads import is_fasta
 def record(path: str, c: Config) -> Column:
     """The text of a read (id, bases, quals) in the format of path."""
     if is_fasta(path):
-        body = F.col("bases") if not c.fasta_wrap else F.rtrim(F.lit("\n"), F.regexp_replace("bases", f"(.{{{c.fasta_wrap}}})", "$1\n"))
+        body = F.col("bases") if not c.fasta_wrap else F.rtrim(F.regexp_replace("bases", f"(.{{{c.fasta_wrap}}})", "$1\n"), F.lit("\n"))
         return F.concat(F.lit(">"), "id", F.lit("\n"), body)
     quals = bases.requality(bases.fake_quality("bases", "quals", c.fake_quality), c.qout)
     return F.concat(F.lit("@"), "id", F.lit("\n"), "bases", F.lit("\n+\n"), quals)
