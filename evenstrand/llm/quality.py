@@ -16,8 +16,6 @@ rejected; other columns pass through unread.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +35,27 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
 
+def _without(text: Column, chars: str) -> Column:
+    """text without the characters: a pass over the bytes for each, which is faster than translate()."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.length(text) - F.length(_without(text, chars))
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, ""))
+    return F.length(_without(text, SPACES))
+
+
+def _furnished(text: Column) -> Column:
+    """Whether text holds a phrase of BOILERPLATE."""
+    found = F.lit(False)
+    for phrase in BOILERPLATE:
+        found = found | F.contains(text, F.lit(phrase))
+    return found
 
 
 def bound(value: Column, body) -> Column:
@@ -63,30 +76,31 @@ def repeated_words(grams: Column) -> Column:
     return F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(bound(pairs, among))
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line with words stays."""
-    lower = F.translate(line, string.ascii_uppercase, string.ascii_lowercase)
-    marks = _count(line, NAVIGATION)
-    navigation = (marks >= 2) & (3 * marks >= F.size(_words(line)))
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(lower, F.lit(phrase))
-    return line.rlike(SENTENCE) & (10 * _count(line, SYMBOLS) <= word_chars(line)) & ~navigation & ~boilerplate
+def line_passes(line: Column, marks: Column | None = None, symbols: Column | None = None, furnished: Column | None = None) -> Column:
+    """Whether a line with words stays. The others say whether its text holds any separator, symbol or phrase at all: lines of most texts need not be searched for them."""
+    yes = F.lit(True)
+    n = _count(line, NAVIGATION)
+    navigation = (yes if marks is None else marks) & (n >= 2) & (3 * n >= F.size(_words(line)))
+    laden = (yes if symbols is None else symbols) & (10 * _count(line, SYMBOLS) > word_chars(line))
+    boilerplate = (yes if furnished is None else furnished) & _furnished(F.lower(line))
+    return (F.endswith(line, F.lit(".")) | line.rlike(SENTENCE)) & ~navigation & ~laden & ~boilerplate
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with a struct column `quality`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, text (the clean lines)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"))
-    cut = packed.select("row", "text", _words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    holds = [(_count(F.col("text"), NAVIGATION) > 0).alias("marks"), _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"), _furnished(F.lower("text")).alias("furnished")]
+    cut = packed.select("row", "text", *holds, _words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     gram = lambda i: F.xxhash64(*(F.col("words")[i + j] for j in range(WINDOW)))
     grams = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), gram)).otherwise(F.array().cast("array<long>"))
-    seen = cut.select("row", "text", "lines", F.size("words").cast("long").alias("n_words"), grams.alias("grams"), F.filter("lines", line_passes).alias("clean"))
+    clean_lines = F.filter("lines", lambda x: line_passes(x, F.col("marks"), F.col("n_symbols") > 0, F.col("furnished")))
+    seen = cut.select("row", "text", "lines", "n_symbols", F.size("words").cast("long").alias("n_words"), grams.alias("grams"), clean_lines.alias("clean"))
     counted = seen.select(
         "row",
         "n_words",
         word_chars(F.col("text")).cast("long").alias("word_chars"),
-        _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("grams")).cast("long").alias("n_repeat_words"),
         F.concat_ws("\n", "clean").alias("text"),
