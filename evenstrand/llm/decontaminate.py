@@ -30,9 +30,14 @@ PLACE = 30
 KEY = repeats.KEY
 
 
+def _raw_words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+
+
 def words_of(text: Column) -> Column:
-    lower = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    """The words of the text, A-Z lower-cased; only words that lower() changes are translated."""
+    low = lambda w: F.when(F.lower(w) == w, w).otherwise(F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
+    return F.transform(_raw_words(text), low)
 
 
 def _runs(words: Column, n: int) -> Column:
@@ -44,9 +49,10 @@ def _runs(words: Column, n: int) -> Column:
 def seeds(texts: DataFrame, keep: list[str]) -> DataFrame:
     """keep, seed, place: the winnowed seeds of texts with a words column."""
     low = (1 << PLACE) - 1
-    hashed = texts.where(F.size("words") >= WINDOW).select(*keep, F.transform(_runs(F.col("words"), GRAM), lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))).alias("h"))
+    hashed = texts.select(*keep, F.transform(_runs(F.col("words"), GRAM), lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))).alias("h"))
     span = WINDOW - GRAM + 1
-    least = F.transform(F.sequence(F.lit(1), F.size("h") - span + 1), lambda i: F.array_min(F.slice("h", i, span)))
+    least = F.transform(F.sequence(F.lit(0), F.size("h") - span), lambda i: F.least(*(F.col("h")[i + j] for j in range(span))))
+    least = F.when(F.size("h") >= span, least).otherwise(F.array().cast("array<long>"))
     one = hashed.select(*keep, F.explode(F.array_distinct(least)).alias("x"))
     return one.select(*keep, F.shiftright("x", PLACE).alias("seed"), F.col("x").bitwiseAND(F.lit(low)).cast("int").alias("place"))
 
@@ -72,7 +78,8 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col
     found = seeds(words, KEY).join(item_seeds, "seed", "left_semi")
     places = found.groupBy(*KEY).agg(F.collect_set("place").alias("places"))
     known = small(windows.select("n", "run"))
-    around = words.join(places, KEY).select(*KEY, "words", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), p - (WINDOW - GRAM)), F.least(p, F.size("words") - WINDOW))))).alias("starts"))
+    held = texts.join(places.hint("shuffle_hash"), KEY).select(*KEY, "places", words_of(F.col("text")).alias("words"))  # texts, not words, are shuffled
+    around = held.select(*KEY, "words", F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), p - (WINDOW - GRAM)), F.least(p, F.size("words") - WINDOW))))).alias("starts"))
     spans = around.select(*KEY, F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), _run_text(F.col("words"), s, WINDOW).alias("run")))).alias("x")).select(*KEY, "x.start", F.lit(WINDOW).alias("n"), "x.run")
     out = spans.join(known, ["n", "run"], "left_semi").select(*KEY, "start", "n", "run")
     for n in sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect()):  # WINDOW - 1 lengths at most
@@ -97,7 +104,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 def judge(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items, contaminated."""
     found = scratch.table(contamination(docs, bench, id_col, text_col), "contaminated")
-    counted = repeats.keyed(docs, id_col, text_col).select(*KEY, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = repeats.keyed(docs, id_col, text_col).select(*KEY, F.size(_raw_words(F.col("text"))).cast("long").alias("n_words"))
     joined = counted.join(found, KEY, "left")
     return joined.select(repeats.id_of().alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
