@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenstrand.config import Config
 from evenstrand.functions import bases, kmers
-from evenstrand.operators import countup, counting, decide, ecc, hists, sketch, trim
+from evenstrand.operators import compare, countup, counting, decide, ecc, hists, sketch, trim
 from evenstrand.plans import normalize as plan
 from evenstrand.plans import peaks
 from evenstrand.sources import reads as source
@@ -420,6 +420,12 @@ def cms_unique_estimate(spark, sf):
     return sketch.unique_estimate(sketch.sketch(_per_kmer(spark, sf, 9), 3, 1 << 20), 1 << 20)
 
 
+def hist_compare(spark, sf):
+    """The histogram of all reads against that of the first 3 of each document."""
+    r = reads(spark, sf)
+    return compare.compare(counting.depth_hist(one_unit(r), ONE), counting.depth_hist(one_unit(r.where("frag < 3")), ONE))
+
+
 # correction
 
 ECC = Config(passes=1, k=21, min_quality=0, min_prob=0.0, ecc=True, ecc_first=True, ecc_final=True, ecc_high=3, ecc_low=1, ecc_ratio=3, ecc_limit=2)
@@ -452,7 +458,7 @@ QUERIES = {
         read_depth_hist, read_depth_percentiles, bad_reads, keep_toss, keep_all, toss_bad, save_rare, discard_bad_only, depth_bins, keep_pairs, keep_pairs_higher_depth, require_both, require_either, fix_spikes, multipass_2, normalized_pairs, count_up, peak_table,
         revcomp, base_cleanup, quality_cap, quality_offset_64, fake_quality, fastq_text, fasta_text, qtrim_window, qtrim_simple, qtrim_optimal, rename_reads,
         len_hist, gc_hist, base_hist, base_fraction_hist, qual_hist, qual_count_hist, avg_qual_hist, overall_qual_hist, base_quality_hist, match_hist, identity_hist, error_hist, quality_accuracy_hist, insert_hist, indel_hist, entropy_hist, barcode_stats,
-        paired_reads, interleave_split, two_file_pairs, input_union, read_limit, cms_depth, cms_saturated, prefilter_counts, cms_unique_estimate, ecc_correct, mark_errors, overlap_repair,
+        paired_reads, interleave_split, two_file_pairs, input_union, read_limit, cms_depth, cms_saturated, prefilter_counts, cms_unique_estimate, hist_compare, ecc_correct, mark_errors, overlap_repair,
     )
 }
 
@@ -605,5 +611,6 @@ ORACLE_SQL: dict[str, str] = {
     "read_limit": f"{_M} SELECT mate::INT AS mate, count(*) AS reads, sum(length(bases))::BIGINT AS bases FROM m WHERE (doc_id * 100000 + frag) // 2 < 10000000 GROUP BY mate",
     "cms_depth": f"{_coded(7)}, {_cms(3, 4096)} SELECT kmer, min(n) AS depth FROM h JOIN sk USING (r, bucket) GROUP BY kmer",
     "cms_saturated": f"{_coded(7)}, {_cms(2, 1024, 255)} SELECT r::INT AS row, bucket, n FROM sk",
+    "hist_compare": f"{_W31}, a AS ({_HIST.format(depth='depth')}), c3 AS (SELECT kmer, count(DISTINCT (doc_id, frag)) AS depth FROM w WHERE frag < 3 GROUP BY kmer), b AS ({_HIST.format(depth='depth').replace('FROM w JOIN c USING', 'FROM (SELECT * FROM w WHERE frag < 3) JOIN c3 USING')}), j AS (SELECT depth, coalesce(a.raw_count, 0) AS r1, coalesce(b.raw_count, 0) AS r2, coalesce(a.unique_kmers, 0) AS u1, coalesce(b.unique_kmers, 0) AS u2 FROM a FULL JOIN b USING (depth)) SELECT min(depth) FILTER (r1 <> r2 OR u1 <> u2) IS NULL AS identical, min(depth) FILTER (r1 <> r2 OR u1 <> u2) AS first_diff, sum(r1)::BIGINT AS raw_count_left, sum(r2)::BIGINT AS raw_count_right, sum(abs(r1 - r2))::BIGINT AS raw_count_delta, max(abs(r1 - r2)) AS raw_count_most, sum(u1)::BIGINT AS unique_kmers_left, sum(u2)::BIGINT AS unique_kmers_right, sum(abs(u1 - u2))::BIGINT AS unique_kmers_delta, max(abs(u1 - u2)) AS unique_kmers_most, ((sum(abs(r1 - r2)) * 1000000 + sum(r1) - 1) // sum(r1))::BIGINT AS raw_count_ppm, ((sum(abs(u1 - u2)) * 1000000 + sum(u1) - 1) // sum(u1))::BIGINT AS unique_kmers_ppm FROM j",
     "prefilter_counts": f"{_coded(9)}, {_cms(2, 65536, 3)}, e AS (SELECT kmer, min(n) AS e FROM h JOIN sk USING (r, bucket) GROUP BY kmer) SELECT kmer, m::BIGINT AS depth FROM c JOIN e USING (kmer) WHERE e >= 2",
 }
