@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenstrand.llm import scratch
+
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -112,9 +114,13 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents kept, same columns, with their clean lines."""
-    kept = measure(docs, text_col).where("quality.kept")
-    return kept.select(*(F.col("quality.text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
+    """The documents kept, same columns, with their clean lines.
+
+    What is measured is written before it is filtered: a filter on top would be pushed
+    into the row, where the optimizer would compute each text's words once per word.
+    """
+    judged = measure(docs, text_col).select(F.struct(*(F.col("quality.text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns)).alias("row"), F.col("quality.kept").alias("kept"))
+    return scratch.table(judged, "judged").where("kept").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
