@@ -173,7 +173,7 @@ class Model:
             self.clear()
         find, at, counts, flat = self.pattern.findall, self.word_at, [], []
         for text in texts:
-            words = find(self.prefix + text) if text else []
+            words = find(self.prefix + text.replace(SPACE, " ")) if text else []  # to the model both are the same mark
             counts.append(len(words))
             flat += words
         new = [w for w in dict.fromkeys(flat) if w not in at]

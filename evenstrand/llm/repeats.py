@@ -131,14 +131,15 @@ def spans_of(texts: DataFrame, rows: DataFrame, unit: str, window: int, with_byt
         first, last, at = (flat_rows.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
         anchor, n = (flat_rows.field(i).to_numpy(zero_copy_only=False) for i in (3, 4))
         # blocks of starts, counted back from the anchor
-        low, high = (at - last) // BLOCK, (at - first) // BLOCK
+        size = min(BLOCK, window)
+        low, high = (at - last) // size, (at - first) // size
         count = high - low + 1
         row = np.repeat(np.arange(len(text)), count)
         block = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        begin = np.maximum(first[row], at[row] - (block + 1) * BLOCK + 1)
-        end = np.minimum(last[row], at[row] - block * BLOCK)
+        begin = np.maximum(first[row], at[row] - (block + 1) * size + 1)
+        end = np.minimum(last[row], at[row] - block * size)
         base = offsets[text[row]]
-        core = spans.hash(base + at[row] - block * BLOCK, base + at[row] - (block + 1) * BLOCK + 1 + window)
+        core = spans.hash(base + at[row] - block * size, base + at[row] - (block + 1) * size + 1 + window)
         key = flat.mix(anchor[row].view(np.uint64) + flat.mix(core) * np.uint64(flat.BASE) + block.astype(np.uint64)).view(np.int64)
         who = pa.array(text[row])
         columns = [pa.array(key), batch.column("doc").take(who), batch.column("tkey").take(who), pa.array(begin.astype(np.int32)), pa.array(n[row])]
@@ -149,10 +150,10 @@ def spans_of(texts: DataFrame, rows: DataFrame, unit: str, window: int, with_byt
             owner = np.repeat(np.arange(len(row)), many)
             start = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + base[owner]
             cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(spans.hash(start, start + window).view(np.int64)))
-        size = 20_000
+        most = 20_000
         out = pa.RecordBatch.from_arrays([*columns, cut], ["key", "doc", "tkey", "begin", "n", "spans"])
-        for i in range(0, out.num_rows, size):
-            yield out.slice(i, size)
+        for i in range(0, out.num_rows, most):
+            yield out.slice(i, most)
 
     kind = "binary" if with_bytes else "array<long>"
     return texts.join(bundled.hint("shuffle_hash"), KEY).select(*KEY, "text", "rows").mapInArrow(run, f"key long, doc long, tkey long, begin int, n long, spans {kind}")

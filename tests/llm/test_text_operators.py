@@ -134,7 +134,7 @@ def test_quality(spark, docs, rows, none):
 
 
 def test_quality_rules_on_lines(spark):
-    lines = ["A sentence stands here.", "no end at all", "Home | About | Contact.", "See our Privacy Policy.", "**bold** %% ## one.", "Er sagte: »Nein.« Dann ging er", "(So?)"]
+    lines = ["A sentence stands here.", "no end at all", "Home | About | Contact.", "See our Privacy Policy.", "**bold** %% ## one.", "Er sagte: «Nein.» Dann ging er", "(So?)"]
     df = spark.createDataFrame([(x,) for x in lines], "x string")
     assert [r[0] for r in df.select(quality.line_passes(F.col("x"))).collect()] == [True, False, False, False, False, True, True] == [brute.op2_line(x) for x in lines]
 
