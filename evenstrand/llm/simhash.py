@@ -94,7 +94,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the edges (a, b): root is the component's least node. Alternating star contraction."""
+    """node, root for every node of the edges (a, b) but the roots: root is the component's least node. Alternating star contraction."""
     edges = scratch.table(edges, "edges")
     before = None
     while True:
