@@ -1,7 +1,8 @@
 """The corpus pipeline: STAGES over documents, each written as Parquet and read back.
 
 1. quality rules: failing lines go, then documents that the rules reject;
-2. SimHash near-dedup: one document, the smallest id, of each group stays;
+2. near-dedup: of documents linked by five-word shingles of similarity 0.8 or more, the
+   smallest id of each group stays;
 3. substring dedup: runs of 50 words or more that stand in an earlier document are cut;
 4. benchmark decontamination: documents holding a window of the benchmark go;
 5. SentencePiece: each text's ids, and the text decoded from them.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenstrand.llm import decontaminate, pieces, quality, scratch, simhash, substring
+from evenstrand.llm import decontaminate, pieces, quality, scratch, similar, substring
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _recount(quality.clean(docs))
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return similar.drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +46,12 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", simhash_near_dedup),
+    ("near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("benchmark decontamination", benchmark_decontamination),
     ("SentencePiece", sentencepiece),
 ]
-#: SQL can't express SimHash components or SentencePiece ids; tests/llm holds a brute-force version.
+#: SQL can't express components or SentencePiece ids; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 
