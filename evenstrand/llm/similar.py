@@ -168,10 +168,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """docs, same columns, with one document of each group: its smallest id.
-
-    Of rows that repeat the kept id, all stay: they are one document to this operator.
-    """
-    gone = near_groups(docs, id_col, text_col, shingle, similarity).where("doc <> component").select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey")).distinct()
+    """docs, same columns, with one row of each group: its smallest id, then the least hash of the text, then of the whole row."""
+    groups = scratch.table(near_groups(docs, id_col, text_col, shingle, similarity), "groups")
+    least = groups.groupBy("component").agg(F.min(F.struct("doc", "tkey")).alias("kept"))
+    each = groups.groupBy("component", "doc", "tkey").agg(F.count("*").alias("n"))
+    named = each.join(least, "component").select("doc", "tkey", "n", (F.struct("doc", "tkey") == F.col("kept")).alias("stays"))
+    named = scratch.table(named.where("n > 1 OR NOT stays").select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), "stays"), "named")
     same = (repeats.doc_key(id_col) == F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__tkey"))
-    return docs.join(gone, same, "left_anti")
+    alone = docs.join(named, same, "left_anti")
+    repeated = docs.join(named.where("stays").drop("stays"), same).groupBy("__doc", "__tkey").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
+    return alone.unionByName(repeated.select("__row.*"))

@@ -74,3 +74,13 @@ def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark):
     ids = {r.doc_id for r in kept.collect()}
     assert ids == {d for (d, _), c in zip(given, groups(given), strict=True) if d == c}
     assert not ids & {145, 177}
+
+
+def test_one_row_of_each_group_stays(spark, docs, rows):
+    """Also where rows repeat the kept id, or no row has one."""
+    text = "some words that are the same in all of these rows"
+    given = [(5, text, "a"), (5, text, "b"), (5, text, "b"), (5, text.upper(), "c"), (6, text, "d"), (None, "no id here", "e"), (None, "no id here", "f"), (7, "alone", "g")]
+    kept = similar.drop_near_copies(spark.createDataFrame(given, "doc_id long, text string, `row` string"))
+    assert sort((r.doc_id, r.text.lower()) for r in kept.collect()) == sort([(5, text), (None, "no id here"), (7, "alone")])
+    kept = similar.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sort((r.doc_id,) for r in kept.collect()) == sort((None if c == FAR else c,) for c in set(groups(rows)))
