@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenstrand.config import Config
-from evenstrand.operators import counting, countup, decide, ecc, hists, trim
+from evenstrand.operators import counting, countup, decide, ecc, hists, sketch, trim
 from evenstrand.plans import peaks
 from evenstrand.sources import reads as source
 from evenstrand.sources import sinks
@@ -56,6 +56,12 @@ def as_reads(df: DataFrame) -> counting.Reads:
     return counting.Reads(df, tuple(PAIR), tuple(KEY), quals="quals")
 
 
+def count_table(reads: counting.Reads, c: Config, name: str = "counts") -> DataFrame:
+    """The k-mer counts of reads, written; with a prefilter, of those that its sketch estimates at two or more."""
+    counts = save(counting.count_kmers(reads, c), name)
+    return save(sketch.prefiltered(counts.withColumnRenamed("depth", "m"), c), name) if c.prefilter else counts
+
+
 def one_pass(reads: DataFrame, counts: DataFrame, c: Config, first: bool) -> DataFrame:
     """reads after correction and trimming, with depth, bad, keep, bin, uncorrected, n_errors."""
     work = reads
@@ -98,7 +104,7 @@ def normalize(reads: DataFrame, c: Config, extra: DataFrame | None = None) -> Re
         c = c.replace(overlap=_overlaps_often(reads), overlap_auto=False)
     current, first_counts, decided = reads, None, None
     if c.count_up:
-        counts = save(counting.count_kmers(as_reads(reads), c), "counts")
+        counts = count_table(as_reads(reads), c)
         judged = countup.count_up(counting.Reads(reads, tuple(KEY), tuple(KEY), quals="quals"), counts, c, save)
         by_pair = judged.groupBy(*PAIR).agg(F.min("hopeless").alias("hopeless"), F.max("keep").alias("keep"))
         if not c.add_bad_countup:
@@ -109,7 +115,7 @@ def normalize(reads: DataFrame, c: Config, extra: DataFrame | None = None) -> Re
         table = current.where(F.col("pair_id") < c.table_reads) if c.table_reads is not None and number == 1 else current
         if extra is not None and number == 1:
             table = table.select(*KEY, "bases", "quals").unionByName(extra.select((-1 - F.col("file_idx")).alias("file_idx"), "pair_id", "mate", "bases", "quals"))
-        counts = save(counting.count_kmers(as_reads(table), c), "counts")
+        counts = count_table(as_reads(table), c)
         first_counts = first_counts if first_counts is not None else counts
         last = number == c.passes
         decided = save(one_pass(current, counts, c, first=not last), "decided")
@@ -177,7 +183,7 @@ def run(spark: SparkSession, c: Config) -> Result:
         wanted = [n + side for n in ("hist", "rhist", "peaks") if n + side in c.tables]
         if side and wanted:
             rows = result.kept
-            in_counts = save(counting.count_kmers(as_reads(rows), c), "counts_out")
+            in_counts = count_table(as_reads(rows), c, "counts_out")
         if "hist" + side in wanted:
             sinks.write_text(sinks.table_text(hist_table(rows, in_counts, c), header), c.tables["hist" + side], c)
         if "rhist" + side in wanted:

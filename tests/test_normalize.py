@@ -26,6 +26,17 @@ def test_histograms_of_the_basic_reads(spark, tmp_path):
     assert lines(tmp_path / "keep") == [x for i, b in enumerate(("AAAAAA", "AAAAAA", "CCCCCC")) for x in (f"@r{i}", b, "+", "IIIIII")]
 
 
+def test_a_prefilter_drops_kmers_seen_once(spark, tmp_path):
+    write_fastq(tmp_path / "r.fq", [(f"r{i}", b, "IIIIII") for i, b in enumerate(("AAAAAA", "AAAAAA", "CCCCCC"))])
+    args = f"in={tmp_path}/r.fq hist={tmp_path}/h k=3 minq=0 minprob=0 minkmers=1 min=1 target=1 max=1 keepall=t histlen=10 passes=1 prefilter=t"
+    assert plan.run(spark, parse_args(args.split())).summary["unique_kmers_in"] == 1
+    assert "\n1\t" not in (tmp_path / "h").read_text() and "\n2\t8\t4\n" in (tmp_path / "h").read_text()
+
+
+def test_bits_of_the_first_pass_are_noted():
+    assert any("bits1" in n for n in parse_args(["in=x.fq", "bits1=8"]).notes)
+
+
 def test_two_passes_lose_no_read_to_both_sides(spark, tmp_path):
     write_fastq(tmp_path / "r.fq", [(f"r{i}", "ACGTACGTACGTACGTACGT", "I" * 20) for i in range(20)])
     args = f"in={tmp_path}/r.fq out={tmp_path}/keep outt={tmp_path}/toss passes=2 k=7 minq=0 minprob=0 min=0 minkmers=1 target=1 max=1"
