@@ -181,10 +181,18 @@ def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
 
 def read_back(tree: Tree) -> DataFrame:
-    """Per conversation, from the stream: conv_id, formatted, and the texts under the loss mask."""
-    text = tree.nodes.select("start", F.transform("tokens", lambda c: F.char(c)).alias("chars"), "loss", "text")
-    masked = F.transform("loss", lambda x: F.substring(F.col("text"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
-    rows = tree.chains.join(text.select("start", "text", masked.alias("masked")), "start")
+    """Per conversation, from the stream's tokens: conv_id, formatted, and the texts under the loss mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = [t.values.to_numpy().astype("<i4", copy=False).tobytes().decode("utf-32-le") for t in batch.column("tokens")]
+                masked = [[t[x["start"] : x["end"]] for x in spans] for t, spans in zip(texts, batch.column("loss").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("start"), pa.array(texts, pa.string()), pa.array(masked, pa.list_(pa.string()))], ["start", "text", "masked"])
+
+    text = tree.nodes.select("start", "tokens", "loss").mapInArrow(run, "start long, text string, masked array<string>")
+    rows = tree.chains.join(text, "start")
     turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn_no", "text", "masked"))).alias("x"))
     return turns.select(repeats.id_of("conv").alias("conv_id"), F.concat_ws("", F.col("x.text")).alias("formatted"), F.flatten("x.masked").alias("masked"))
 

@@ -75,6 +75,14 @@ def test_chat_query(spark):
     assert chat.read_back(chat.prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
 
 
+def test_turns_are_read_from_the_tokens(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "é漢𝒳"), (1, 1, "assistant", "said")], "conv_id long, turn long, role string, text string")
+    tree = chat.prefix_tree(turns)
+    want = chat.read_back(tree).collect()
+    assert want[0].masked == ["said"] and "é漢𝒳" in want[0].formatted
+    assert chat.read_back(chat.Tree(tree.nodes.withColumn("text", F.lit("lost")), tree.chains)).collect() == want
+
+
 @pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
 def test_warc(spark, tmp_path, chunk):
     big = "é" * 100_000
