@@ -21,7 +21,7 @@ from evenstrand.config import Config
 from evenstrand.operators import counting, decide
 
 
-def count_up(reads: counting.Reads, counts: DataFrame, c: Config, save: Callable[[DataFrame, str], DataFrame], rounds: int = 100) -> DataFrame:
+def count_up(reads: counting.Reads, counts: DataFrame, c: Config, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Read key, hopeless (dropped by the prepass), keep."""
     key = list(reads.key)
     scored = decide.score(counting.coverage(reads, counts, c), c)
@@ -32,7 +32,7 @@ def count_up(reads: counting.Reads, counts: DataFrame, c: Config, save: Callable
     seen = save(counting.windows(reads, c, True).select(*key, "kmer").distinct().join(fine.select(*key, order.alias("rank")), key), "windows")
     kept = save(fine.select(*key, F.lit(True).alias("keep")), "kept")
     before = Window.partitionBy("kmer").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(rounds):
+    while True:  # each round settles at least the next read in order
         depth = seen.join(kept, key).select(*key, F.coalesce(F.sum(F.col("keep").cast("long")).over(before), F.lit(0)).alias("n"))
         judged = depth.groupBy(*key).agg(F.array_sort(F.collect_list("n")).alias("cov")).select(*key, (decide.depth_at(F.col("cov"), c.percentile) < c.target).alias("keep"))
         now = save(judged, "kept")
