@@ -84,3 +84,11 @@ def test_one_row_of_each_group_stays(spark, docs, rows):
     assert sort((r.doc_id, r.text.lower()) for r in kept.collect()) == sort([(5, text), (None, "no id here"), (7, "alone")])
     kept = similar.drop_near_copies(docs)
     assert kept.columns == docs.columns and sort((r.doc_id,) for r in kept.collect()) == sort((None if c == FAR else c,) for c in set(groups(rows)))
+
+
+def test_parities_of_different_lengths(spark):
+    """Sets of up to and over 512 shingles are compared by parities of different lengths."""
+    words = [f"w{i}" for i in range(560)]
+    given = [(1, " ".join(words[:500])), (2, " ".join(words[:540])), (3, " ".join(words[60:] + words[:30]))]
+    got = similar.near_groups(spark.createDataFrame(given, "doc_id long, text string")).select("doc", "component").collect()
+    assert sort(got) == sort(zip((1, 2, 3), groups(given), strict=True))
