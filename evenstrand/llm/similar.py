@@ -1,15 +1,26 @@
-"""Near copies by the similarity of their word shingles: all pairs of Jaccard similarity SIMILARITY or more are linked.
+"""SimHash near-dedup by similarity: all documents of Jaccard similarity SIMILARITY or more are linked.
 
 A text is the set of its runs of SHINGLE words, A-Z lower-cased (shorter texts are one
-run); texts of one set are one node.  Sets are put in one order for all, shingles that
-a sample finds in many texts last.  Of two sets of similarity p/q or more, with n
-shingles in the one, the first n - ceil(n p/q) + 1 of each share one (prefix filter), so
-nodes that share none are never compared; links are verified on the whole sets.
+run); texts of one set are one node.
+
+First the SimHash fingerprints of the sets are joined by deletion variants (see simhash);
+nodes of one fingerprint, or of two that differ in few bits, are compared by their sets.
+A fingerprint of 64 bits can't go further: at similarity 0.8 about ten bits differ.  The
+rest is found exactly.  Sets are put in one order for all, shingles that a sample finds
+in many texts last.  Of two sets of similarity p/q or more, with n shingles in the one,
+the first n - ceil(n p/q) + 1 of each share one (prefix filter), so nodes that share none
+are never compared.
 
 Only components are asked for, so groups are not paired off: for some rounds each node
 is compared with one chosen of its buckets, and what is left at the end are pairs of a
 bucket's nodes that are still in different components.  All of those are compared: no
 pair is left out that could join two components.
+
+Whole sets are made again from the texts of the few nodes that sizes and parities leave;
+only the first shingles of all are stored.
+
+Null texts and texts without words are one node of no shingles.  A null id counts as the
+largest.  Other columns, also of the names used here, pass through unread.
 """
 
 from __future__ import annotations
@@ -31,8 +42,9 @@ SIMILARITY = Fraction(4, 5)
 SAMPLE, OFTEN, HOT = 16, 8, 100_000
 #: Bits of a set's parity, at least.
 BITS = 512
-#: Rounds of comparing with one node of a bucket, at most, and the pairs a bucket's row may cost before another is made.
-ROUNDS, FEW = 6, 8
+KEY = repeats.KEY
+#: Rounds of comparing with one node of a bucket, at most, and the pairs a bucket's row may cost before another is made; one without a new link is the last.
+ROUNDS, FEW = 6, 16
 
 
 def sets(texts: list[bytes], shingle: int, hot: np.ndarray, hot_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,27 +83,57 @@ def parities(found: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array((first // 64).astype(np.int32)), pa.array(out.view(np.int64)))
 
 
-def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot: list[int]) -> DataFrame:
-    """doc, tkey, node (a key of the text's set), shingles (the set, in order), parity (of the number of shingles per bit)."""
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(repeats.doc_key(id_col).alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).select("doc", F.xxhash64("text").alias("tkey"), "text")
+
+
+def prefixes(found: np.ndarray, offsets: np.ndarray, similarity: Fraction) -> pa.ListArray:
+    """The first shingles of each set, by the prefix filter."""
+    n = np.diff(offsets)
+    many = np.where(n > 0, n + 1 + (-n * similarity.numerator) // similarity.denominator, 0)
+    start = np.cumsum(many) - many
+    at = np.repeat(offsets[:-1] - start, many) + np.arange(int(many.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.append(start, many.sum()).astype(np.int32)), pa.array(found[at].view(np.int64)))
+
+
+def _lists(found: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.view(np.int64)))
+
+
+def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: Fraction, hot: list[int]) -> DataFrame:
+    """doc, tkey, node (a key of the text's set), fp (its fingerprint), n (its size), first (its first shingles), parity (of the number of shingles per bit)."""
     ship(docs.sparkSession)
     by_hash = sorted((h % 2**64, i + 1) for i, h in enumerate(hot))
     hot_hash, hot_rank = np.array([h for h, _ in by_hash], np.uint64), np.array([i for _, i in by_hash], np.int64)
-    named = docs.select(repeats.doc_key(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc", F.xxhash64("text").alias("tkey"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in repeats.chunks(batch):
                 found, offsets, node = sets(repeats.encoded(some), shingle, hot_hash, hot_rank)
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column("doc"), some.column("tkey"), pa.array(node.view(np.int64)), lists, parities(found, offsets)], ["doc", "tkey", "node", "shingles", "parity"])
+                columns = [some.column("doc"), some.column("tkey"), pa.array(node.view(np.int64)), pa.array(simhash.majority(_lists(found, offsets))), pa.array(np.diff(offsets)), prefixes(found, offsets, similarity), parities(found, offsets)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "tkey", "node", "fp", "n", "first", "parity"])
+
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc long, tkey long, node long, fp long, n long, first array<long>, parity array<long>")
 
-    return named.mapInArrow(run, "doc long, tkey long, node long, shingles array<long>, parity array<long>")
+
+def whole_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles of texts (node, text)."""
+    none = np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in repeats.chunks(batch):
+                found, offsets, _ = sets(repeats.encoded(some), shingle, none, none.view(np.int64))
+                yield pa.RecordBatch.from_arrays([some.column("node"), _lists(found, offsets)], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def frequent(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> list[int]:
-    """Shingles of many texts, the most frequent last."""
-    some = docs.where(F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(SAMPLE)) == 0)
-    each = shingled(some, id_col, text_col, shingle, []).select("node", F.explode("shingles").alias("h")).distinct()
+    """Shingles of many texts, the most frequent last; HOT at most. Which they are changes speed alone."""
+    ship(docs.sparkSession)
+    some = texts_of(docs, id_col, text_col).where(F.pmod("tkey", F.lit(SAMPLE)) == 0).groupBy("tkey").agg(F.first("text").alias("text"))
+    each = whole_sets(some.withColumnRenamed("tkey", "node"), shingle).select(F.explode("shingles").alias("h"))
     most = each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(HOT)
     return [r.h for r in reversed(most.collect())]
 
@@ -107,39 +149,48 @@ def possible(pairs: DataFrame, about: DataFrame, similarity: Fraction) -> DataFr
     return both.where(differ * (p + q) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b")
 
 
-def verified(pairs: DataFrame, marked: DataFrame, similarity: Fraction) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar."""
+def verified(pairs: DataFrame, about: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Of the pairs (a, b) those whose sets are similar, as a table."""
     p, q = similarity.numerator, similarity.denominator
+    pairs = scratch.table(pairs, "pairs")
     asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
-    whole = scratch.table(marked.select("node", "shingles").join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    named = about.select("node", *KEY).join(asked, "node", "left_semi")
+    whole = scratch.table(whole_sets(texts.join(named, KEY), shingle).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     side = lambda c: whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where((p + q) * F.size(F.array_intersect("sa", "sb")) >= p * (F.size("sa") + F.size("sb"))).select("a", "b")
+    return scratch.table(both.where((p + q) * F.size(F.array_intersect("sa", "sb")) >= p * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
 
 
-def links(marked: DataFrame, similarity: Fraction) -> DataFrame:
-    """Links (a, b) that connect all nodes of similar sets. marked: node, shingles, parity."""
-    p, q = similarity.numerator, similarity.denominator
+def simhash_pairs(about: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with one fingerprint, or with two that differ in few bits: one node stands for a fingerprint."""
+    fps = scratch.table(about.groupBy("fp").agg(F.min("node").alias("lead")), "fingerprints")
+    same = about.join(fps, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(fps.select("fp"))
+    side = lambda c: fps.select(F.col("fp").alias(f"f{c}"), F.col("lead").alias(c))
+    return same.union(near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("a"), "fa").join(side("b"), "fb").select("a", "b"))
+
+
+def links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Links (a, b) that connect all nodes of similar sets. marked: as of shingled."""
     spark = marked.sparkSession
-    first = F.expr(f"slice(shingles, 1, size(shingles) - cast((size(shingles) * {p}L + {q - 1}) div {q} AS int) + 1)")
-    each = marked.where(F.size("shingles") > 0).select("node", F.explode(first).alias("key"))
+    nodes = marked.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "tkey", "fp", "n")).alias("x"), F.first("parity").alias("parity"))
+    about = scratch.table(nodes.select("node", "x.*", "parity"), "about")
+    found = verified(possible(simhash_pairs(about), about, similarity), about, texts, shingle, similarity)
+    each = marked.join(about.select("node", *KEY), [*KEY, "node"], "left_semi").select("node", F.explode("first").alias("key"))
     dealt = each.repartition(scratch.partitions(spark), "key")  # one exchange serves the count and the join
     often = dealt.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     members = scratch.table(dealt.join(often.hint("shuffle_hash"), "key").distinct(), "members")
-    about = marked.select("node", F.size("shingles").cast("long").alias("n"), "parity").join(members.select("node").distinct(), "node", "left_semi")
-    about = scratch.table(about.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "about")
-    found, at = None, members.withColumn("root", F.col("node"))
-    for number in range(ROUNDS + 1):
-        if number:
-            roots = simhash.components(found).withColumnRenamed("node", "__node")
-            at = members.join(roots, members.node == roots.__node, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-            at = scratch.table(at.join(mixed, "key"), "open")
-            per = at.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"), F.sum("n").alias("n"))
-            cost, rows = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
-            if not rows:
-                return found
-        last = number == ROUNDS or (number > 0 and cost <= FEW * rows)
+    idle = False
+    for number in range(1, ROUNDS + 1):
+        roots = simhash.components(found).withColumnRenamed("node", "__node")
+        at = members.join(roots, members.node == roots.__node, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        at = scratch.table(at.join(mixed, "key"), "open")
+        per = at.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"), F.sum("n").alias("n"))
+        cost, rows = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+        if not rows:
+            return found
+        last = idle or number == ROUNDS or cost <= FEW * rows
         if last:
             other = at
         else:
@@ -150,16 +201,19 @@ def links(marked: DataFrame, similarity: Fraction) -> DataFrame:
         pairs = possible(pairs, about, similarity)
         if not last:  # one a node: the others come in later rounds where they still join anything
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(number))).alias("b"))
-        more = scratch.table(verified(scratch.table(pairs, "pairs"), marked, similarity), "links")
-        found = more if found is None else found.union(more)
+        more = verified(pairs, about, texts, shingle, similarity)
+        found = found.union(more)
         if last:
             return found
+        idle = more.isEmpty()
+    return found
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:
     """One row per document: doc, tkey, component (the smallest doc that links reach)."""
-    marked = scratch.table(shingled(docs, id_col, text_col, shingle, frequent(docs, id_col, text_col, shingle)), "shingles")
-    roots = scratch.table(simhash.components(links(marked.select("node", "shingles", "parity"), similarity)), "roots").withColumnRenamed("node", "__node")
+    marked = scratch.table(shingled(docs, id_col, text_col, shingle, similarity, frequent(docs, id_col, text_col, shingle)), "shingles")
+    found = links(marked, texts_of(docs, id_col, text_col), shingle, similarity)
+    roots = scratch.table(simhash.components(found), "roots").withColumnRenamed("node", "__node")
     nodes = marked.groupBy("node").agg(F.min("doc").alias("lead"))
     rooted = nodes.join(roots, nodes.node == roots.__node, "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     component = rooted.groupBy("root").agg(F.min("lead").alias("component"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 
@@ -165,3 +166,30 @@ def op10(rows, path):
         out.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
+
+
+FAR = 2**63 - 1
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def groups(rows):
+    """The component of each row: linked where five-word shingles have Jaccard similarity 0.8 or more."""
+    found = [shingles(t or "") for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        if 9 * len(found[i] & found[j]) >= 4 * (len(found[i]) + len(found[j])):
+            parent[find(j)] = find(i)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), FAR), FAR if doc is None else doc)
+    return [least[find(i)] for i in range(len(rows))]

@@ -8,7 +8,7 @@ from evenstrand.llm import pieces
 def slow(docs, items):
     """The pipeline's rows, stage by stage."""
     docs = [(x[0], t) for x, t in brute.op2(docs) if x[-1]]
-    docs = [d for d, (doc, _, c) in zip(docs, brute.op8(docs), strict=True) if doc == c]
+    docs = [d for d, c in zip(docs, brute.groups(docs), strict=True) if d[0] == c]
     docs = [(i, brute.cut(t, g)) for (i, t), (_, g) in zip(docs, brute.substring_cover(docs, 50), strict=True)]
     docs = [d for d, w in zip(docs, brute.op7(docs, items), strict=True) if not w[-1]]
     return brute.op4(docs, pieces.default_model())

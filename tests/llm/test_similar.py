@@ -1,6 +1,4 @@
 import random
-import re
-from itertools import combinations
 
 import brute
 import pytest
@@ -9,33 +7,6 @@ from conftest import SF, sort
 import corpus_pipeline
 from evenstrand.llm import similar
 
-FAR = 2**63 - 1
-
-
-def shingles(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", brute.lower(text))
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def groups(rows):
-    """The component of each row: linked where five-word shingles have Jaccard similarity 0.8 or more."""
-    found = [shingles(t or "") for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in combinations(range(len(rows)), 2):
-        if 9 * len(found[i] & found[j]) >= 4 * (len(found[i]) + len(found[j])):
-            parent[find(j)] = find(i)
-    least = {}
-    for i, (doc, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), FAR), FAR if doc is None else doc)
-    return [least[find(i)] for i in range(len(rows))]
-
-
 def edited(seed):
     """Groups of near copies around the limit, chains of them, and a passage that many texts hold."""
     r = random.Random(seed)
@@ -61,7 +32,7 @@ def test_all_similar_pairs_are_linked(spark, docs, rows, none, monkeypatch, ofte
     made = edited(often)
     for given, df in ((made, spark.createDataFrame(made, "doc_id long, text string")), (rows, docs)):
         got = similar.near_groups(df).select("doc", "component").collect()
-        assert sort(got) == sort((FAR if d is None else d, c) for (d, _), c in zip(given, groups(given), strict=True))
+        assert sort(got) == sort((brute.FAR if d is None else d, c) for (d, _), c in zip(given, brute.groups(given), strict=True))
     assert similar.near_groups(none).collect() == []
 
 
@@ -72,7 +43,7 @@ def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark):
     kept = corpus_pipeline.STAGES[1][1](spark, docs, SF)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
-    assert ids == {d for (d, _), c in zip(given, groups(given), strict=True) if d == c}
+    assert ids == {d for (d, _), c in zip(given, brute.groups(given), strict=True) if d == c}
     assert not ids & {145, 177}
 
 
@@ -83,7 +54,7 @@ def test_one_row_of_each_group_stays(spark, docs, rows):
     kept = similar.drop_near_copies(spark.createDataFrame(given, "doc_id long, text string, `row` string"))
     assert sort((r.doc_id, r.text.lower()) for r in kept.collect()) == sort([(5, text), (None, "no id here"), (7, "alone")])
     kept = similar.drop_near_copies(docs)
-    assert kept.columns == docs.columns and sort((r.doc_id,) for r in kept.collect()) == sort((None if c == FAR else c,) for c in set(groups(rows)))
+    assert kept.columns == docs.columns and sort((r.doc_id,) for r in kept.collect()) == sort((None if c == brute.FAR else c,) for c in set(brute.groups(rows)))
 
 
 def test_parities_of_different_lengths(spark):
@@ -91,4 +62,4 @@ def test_parities_of_different_lengths(spark):
     words = [f"w{i}" for i in range(560)]
     given = [(1, " ".join(words[:500])), (2, " ".join(words[:540])), (3, " ".join(words[60:] + words[:30]))]
     got = similar.near_groups(spark.createDataFrame(given, "doc_id long, text string")).select("doc", "component").collect()
-    assert sort(got) == sort(zip((1, 2, 3), groups(given), strict=True))
+    assert sort(got) == sort(zip((1, 2, 3), brute.groups(given), strict=True))
