@@ -1,8 +1,8 @@
 """The corpus pipeline: STAGES over documents, each written as Parquet and read back.
 
 1. quality rules: failing lines go, then documents that the rules reject;
-2. near-dedup: of documents linked by five-word shingles of similarity 0.8 or more, the
-   smallest id of each group stays;
+2. SimHash near-dedup: of documents linked by five-word shingles of similarity 0.8 or
+   more, the smallest id of each group stays;
 3. substring dedup: runs of 50 words or more that stand in an earlier document are cut;
 4. benchmark decontamination: documents holding a window of the benchmark go;
 5. SentencePiece: each text's ids, and the text decoded from them.
@@ -46,7 +46,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
     ("benchmark decontamination", benchmark_decontamination),
     ("SentencePiece", sentencepiece),
