@@ -4,9 +4,8 @@ BPE models only.  A text is cut into words that no piece can cross (a run of spa
 what follows; line ends where no piece holds one).  Words not met before are encoded
 together: flat symbol arrays, the minimum pair rank of each word by a segmented
 minimum, the leftmost pair of that rank merged in all words at once, compaction, until
-no pair remains.  Further pairs of the same rank are merged in the same round where the
-vocabulary shows that this changes nothing: no pair that the new piece can form ranks
-before it.  Symbols left outside the vocabulary fall back to bytes, or to the unknown id.
+no pair remains (see bpe).  Symbols left outside the vocabulary fall back to bytes, or to
+the unknown id.
 
 Null texts count as empty: only the begin and end ids.  Words kept between batches are
 dropped at CACHE, which changes no result.
@@ -22,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenstrand.llm import repeats
+from evenstrand.llm import bpe, repeats
 from evenstrand.ship import ship
 
 SPACE = "▁"
 #: Characters of words kept between batches.
 CACHE = 2_000_000
-NONE = np.int32(2**31 - 1)
 
 
 class Model:
@@ -53,18 +51,13 @@ class Model:
             self.symbols[c] = n + len(self.symbols) - len(real)
         self.n_vocab, self.n_symbols = n, n + len(self.symbols) - len(real)
         _, rank = np.unique(-scores, return_inverse=True)
-        self.rank = np.append(rank.astype(np.int32), np.full(self.n_symbols - n + 1, NONE, np.int32))
-        table, safe = {}, np.ones(self.n_symbols, bool)
+        pairs = {}
         for piece, i in real.items():
             for cut in range(1, len(piece)):
                 left, right = self.symbols.get(piece[:cut]), self.symbols.get(piece[cut:])
                 if left is not None and right is not None:
-                    table[left * self.n_symbols + right] = i
-                    for part in (left, right):
-                        if part < n and rank[i] <= rank[part]:
-                            safe[part] = False
-        keys = np.array(sorted(table), np.int64)
-        self.keys, self.merged, self.safe = keys, np.array([table[k] for k in keys.tolist()], np.int32), safe
+                    pairs[left, right] = i
+        self.merges = bpe.Merges(pairs, np.append(rank, np.full(self.n_symbols - n, bpe.NONE)))
         inner = {c for p in real if len(p) > 1 for c in p}
         assert not any(SPACE in p.lstrip(SPACE) for p in real), "pieces that go on over a space are not supported"
         self.pattern = re.compile(r" *[^ \n]+| +|\n" if "\n" not in inner else r" *[^ ]+| +")
@@ -93,13 +86,6 @@ class Model:
 
     # encoding
 
-    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that each two neighbours merge to, or n_symbols."""
-        ok = (left >= 0) & (right >= 0)
-        key = left.astype(np.int64) * self.n_symbols + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(ok & (self.keys[at] == key), self.merged[at], self.n_symbols).astype(np.int32)
-
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words end to end (flat), and offsets."""
         chars = "".join(words).replace(" ", SPACE)
@@ -109,43 +95,7 @@ class Model:
         sym = known[inverse].astype(np.int64) if len(code) else np.zeros(0, np.int64)
         lengths = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
-        pair = np.full(len(sym), self.n_symbols, np.int32)
-        if len(sym) > 1:
-            pair[:-1] = np.where(word[1:] == word[:-1], self.pairs(sym[:-1], sym[1:]), self.n_symbols)
-        done_sym, done_word = [], []
-        while len(sym):
-            head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            size = np.diff(np.append(head, len(sym)))
-            rank = self.rank[np.minimum(pair, self.n_vocab)]
-            best = np.repeat(np.minimum.reduceat(rank, head), size)
-            over = best == NONE
-            if over.any():
-                done_sym.append(sym[over])
-                done_word.append(word[over])
-                sym, word, pair, rank, best = sym[~over], word[~over], pair[~over], rank[~over], best[~over]
-                if not len(sym):
-                    break
-            hit = np.flatnonzero(rank == best)
-            lead = np.append(True, word[hit[1:]] != word[hit[:-1]])
-            piece = pair[hit]
-            first = piece[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-            hit = hit[lead | (self.safe[first] & (piece == first))]
-            # of overlapping pairs (runs of one symbol) every other one from the left
-            run = np.append(True, (hit[1:] != hit[:-1] + 1) | (word[hit[1:]] != word[hit[:-1]]))
-            begin = hit[np.flatnonzero(run)][np.cumsum(run) - 1]
-            hit = hit[(hit - begin) % 2 == 0]
-            sym[hit] = pair[hit]
-            keep = np.ones(len(sym), bool)
-            keep[hit + 1] = False
-            now = hit - np.arange(len(hit))  # where merged symbols stand after compaction
-            sym, word, pair = sym[keep], word[keep], pair[keep]
-            for at in (now, now[now > 0] - 1):
-                nxt = np.minimum(at + 1, len(sym) - 1)
-                pair[at] = np.where((at + 1 < len(sym)) & (word[nxt] == word[at]), self.pairs(sym[at], sym[nxt]), self.n_symbols)
-        sym = np.concatenate(done_sym) if done_sym else np.zeros(0, np.int64)
-        word = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
-        order = np.argsort(word, kind="stable")
-        sym, word = sym[order], word[order]
+        sym, word = self.merges.merge(sym, word)
         out = (sym < 0) | (sym >= self.n_vocab)
         if out.any():
             sym, word = self._fall_back(sym, word, out)

@@ -10,18 +10,23 @@ vocabulary needs.  Ids go into blocks of BLOCK, each padded to whole bytes.
 
 A reader takes any range of tokens from the blocks it touches, unpacked with numpy.
 
-Null texts count as empty: only the end id.  A null id sorts last and stays null.  Rows
-that repeat an id stand side by side, ordered by a hash of the text.  Shard names carry the writing
+Null texts count as empty: only the end id.  Ids are whole numbers; a null id sorts last
+and stays null.  Rows that repeat an id stand side by side, ordered by a hash of the text.
+An empty table gives no rows.  Long texts are written block by block and read whole.
+Other columns, also of the names used here, are not read.  Shard names carry the writing
 attempt, and only shards in the returned list count, so a task that runs again leaves
 no double.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenstrand.llm import repeats, scratch
+from evenstrand.llm import bpe, repeats, scratch
 from evenstrand.ship import ship
 
 MAGIC = b"EVENTOK1"
 FOOTER = struct.Struct("<6Q8s")
 BLOCK = 1 << 16
 #: Characters of words kept between batches; dropping them changes no result.
-CACHE = 2_000_000
+CACHE = 6_000_000
 #: Ids read at once.
 READ = 1 << 20
 
@@ -130,10 +135,102 @@ def file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: Characters whose normalisation looks at no neighbour: ASCII and the Latin letters beside it, but for the one that lower-cases to two.
+PLAIN = re.compile("[\\x00-\\x7f\\u00a1-\\u012f\\u0131-\\u024f]*")
+#: The normaliser whose effect on such characters is their lower case.
+LOWERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+class Parts:
+    """A vocabulary's own cut of words into parts, and the ids of parts by vectorised merge rounds (see bpe).
+
+    For tokenizers that lower-case, cut by a pattern, spell parts in byte letters with a
+    mark on the last, and merge by a table in which each merge makes a symbol of its own,
+    later than its halves: `of` gives None for any other.
+    """
+
+    def __init__(self, spec: dict, pattern: str):
+        vocab, suffix = spec["vocab"], spec["end_of_word_suffix"]
+        self.find = re.compile(f"{plain_pattern(pattern)}|\n").findall  # a line end is a part of its own
+        letters = byte_letters()
+        self.inner, self.last = (np.array([vocab[c + s] for c in letters], np.int64) for s in ("", suffix))
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+        ranks = np.full(max(vocab.values()) + 1, bpe.NONE)
+        letters_at, pairs = {*self.inner.tolist(), *self.last.tolist()}, {}
+        for rank, (left, right) in enumerate(merges):
+            to = vocab[left + right]
+            if to in letters_at or ranks[to] != bpe.NONE or any(x not in letters_at and ranks[x] == bpe.NONE for x in (vocab[left], vocab[right])):
+                raise ValueError(f"merge {rank} makes no symbol of its own, or comes before its halves")
+            ranks[to], pairs[vocab[left], vocab[right]] = rank, to
+        self.merges = bpe.Merges(pairs, ranks)
+
+    @classmethod
+    def of(cls, spec: dict) -> Parts | None:
+        model, cut = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) and model.get("end_of_word_suffix")
+        lowers = (spec["normalizer"] or {}).get("normalizers") == LOWERS
+        cuts = [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["behavior"] == "Removed" and cut[0]["invert"] and "Regex" in cut[0]["pattern"] and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        return cls(model, cut[0]["pattern"]["Regex"]) if plain and lowers and cuts else None
+
+    def ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts end to end, and how many each has."""
+        raw = [p.encode() for p in parts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        size = np.array([len(x) for x in raw], np.int64)
+        sym = self.inner[data]
+        ends = np.cumsum(size) - 1
+        sym[ends] = self.last[data[ends]]
+        sym, word = self.merges.merge(sym, np.repeat(np.arange(len(raw)), size))
+        return sym.astype(np.uint32), np.bincount(word, minlength=len(raw))
+
+
+def plain_pattern(pattern: str) -> str:
+    """The pattern for lower-cased PLAIN characters, with letters, numbers and white space spelt out."""
+    import regex
+
+    text = "".join(c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c)).lower()
+    for name in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(name, "".join(sorted(set(regex.findall(name, text)))))
+    return pattern.replace(r"\s", r"\t-\r ")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, others follow U+00FF in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + other.index(b)) for b in range(256)]
+
+
+class Lists:
+    """Lists of ids by name, kept in flat arrays."""
+
+    def __init__(self):
+        self.at: dict = {}
+        self.flat, self.sizes, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, names: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
+
+    def get(self, names: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the names end to end, and how many each has."""
+        return self.of(np.fromiter(map(self.at.__getitem__, names), np.int64, len(names)))
+
+    def of(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(used):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        sizes = self.sizes[used]
+        place = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.starts[used] - place, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
 class WordEncoder:
-    """The tokenizers library, asked once per word where its pre-tokenizer never looks over ASCII spaces.
+    """The tokenizers library's ids, found once per word where its pre-tokenizer never looks over ASCII spaces.
 
-    That holds for vocabularies that drop white space before the merges, as checked on load.
+    That holds for vocabularies that drop white space before the merges, as checked on
+    load.  Words of PLAIN characters are cut into parts and merged here if Parts knows the
+    vocabulary; the library encodes the others, and all that hold an added token.
     """
 
     def __init__(self, path: str):
@@ -142,13 +239,44 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         whole = [self.lib.encode(t, add_special_tokens=False).ids for t in ("ab  cd\nef", "ab", "cd", "ef")]
-        self.by_word = whole[0] == whole[1] + whole[2] + whole[3]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        added = [x["content"] for x in spec["added_tokens"]]
+        self.by_word = whole[0] == whole[1] + whole[2] + whole[3] and not any(re.search(r"\s", x) for x in added)
+        self.parts = Parts.of(spec) if self.by_word else None
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat, self.sizes, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+        self.words, self.known, self.held = Lists(), Lists(), 0
+        self.known.add(["\n"], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Keep the ids of words not met before."""
+        own, rest = self._split(new) if self.parts else ([], new)
+        if own:
+            cut = self.parts.find((b"\n".join(own) + b"\n").decode().lower())
+            unknown = [p for p in dict.fromkeys(cut) if p not in self.known.at]
+            if unknown:
+                self.known.add(unknown, *self.parts.ids(unknown))
+                self.held += sum(map(len, unknown))
+            used = np.fromiter(map(self.known.at.__getitem__, cut), np.int64, len(cut))
+            ids, sizes = self.known.of(used)
+            ends = np.cumsum(sizes)[used == self.known.at["\n"]]
+            self.words.add(own, ids, np.diff(ends, prepend=0))
+        if rest:
+            lists = [e.ids for e in self.lib.encode_batch([w.decode() for w in rest], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            self.words.add(rest, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum())), sizes)
+        self.held += sum(map(len, new))
+
+    def _split(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Words to cut and merge here, and the others."""
+        plain = [w.isascii() or PLAIN.fullmatch(w.decode()) is not None for w in words]
+        if self.added.search(b"\n".join(words).decode()):
+            plain = [p and not self.added.search(w.decode()) for p, w in zip(plain, words, strict=True)]
+        return list(compress(words, plain)), [w for w, p in zip(words, plain, strict=True) if not p]
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, the end id after each, and offsets."""
@@ -163,19 +291,10 @@ class WordEncoder:
             mine = text.split()
             counts.append(len(mine))
             words += mine
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
+        new = [w for w in dict.fromkeys(words) if w not in self.words.at]
         if new:
-            lists = [e.ids for e in self.lib.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.starts = np.cumsum(self.sizes) - self.sizes
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.held += sum(map(len, new))
-        used = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[used] if len(used) else used
-        place = np.cumsum(sizes) - sizes
-        ids = self.flat[np.repeat(self.starts[used] - place, sizes) + np.arange(int(sizes.sum()))] if len(used) else np.zeros(0, np.uint32)
+            self._learn(new)
+        ids, sizes = self.words.get(words)
         cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         offsets = np.concatenate([[0], np.cumsum(np.diff(cuts) + 1)]).astype(np.int64)
         out = np.full(offsets[-1], end, np.uint32)

@@ -247,3 +247,30 @@ def test_token_shards(spark, docs, rows, none, tmp_path):
 
     assert sort(back(docs, "a")) == sort(brute.op10(rows, path))
     assert back(none, "b") == []
+
+
+def test_words_have_the_library_s_ids():
+    """Words cut and merged here, words left to the library, and added tokens within words."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = tokenfile.default_vocabulary()
+    lib, words, r = Tokenizer.from_file(path), tokenfile.WordEncoder(path), random.Random(4)
+    assert words.parts is not None
+    near = [chr(c) for c in range(0x250)] + ["'s", "'ll", "'t", "<|endoftext|>", "ing", "the", "漢", "\u0301", "Σ", "İ", "ß"]
+    made = ["".join(r.choice(near if r.random() < 0.5 else near[32:127]) for _ in range(r.randint(1, 14))) for _ in range(20_000)]
+    ids, offsets = words.encode([w.encode() for w in made], 1)
+    assert [ids[a : b - 1].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [e.ids for e in lib.encode_batch(made, add_special_tokens=False)]
+
+
+def test_other_vocabularies_go_to_the_library():
+    import public_tokenizers
+
+    words = tokenfile.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert words.parts is None and not words.by_word
+
+
+def test_id_queries_on_the_table(spark, real):
+    assert sort(pieces.op4_sentencepiece(spark, SF).collect()) == sort(brute.op4(real, pieces.default_model()))
+    assert sort(tokenfile.op10_token_file(spark, SF).collect()) == sort(brute.op10(real, tokenfile.default_vocabulary()))
