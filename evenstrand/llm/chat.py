@@ -6,8 +6,9 @@ stream of tokens.  Each node carries its tokens, their position ids (the place o
 own path, not in the stream) and the stream intervals its tokens may attend to: those of
 its ancestors and its own, from where causal attention holds.
 
-Tokens are the code points of the formatted text.  A conversation is the chain of its
-nodes, so it is read back from the stream by their starts.
+Tokens are the code points of the formatted text.  A conversation is read back from the
+stream: its last node's intervals say which nodes belong to it, their position ids say
+in which order.
 
 Depth-first order is the order of conversations by their chain of node keys: whatever a
 conversation shares with the one before has been emitted.  Conversations are dealt by
@@ -16,7 +17,10 @@ ranges of that order; only the last chain and the sum of each range go to the dr
 Control strings in roles and texts are broken by a backslash after their first
 character; runs of backslashes there grow by one, so that this is reversible.  Null
 roles and texts count as empty, turns are ordered by turn (null first), role and text,
-repeated rows are turns of their own, and rows of null conv_id are one conversation.
+and repeated rows are turns of their own.  Conversation ids are whole numbers; each row
+of null conv_id is a conversation of its own, so they are no group.  A conversation is
+held in memory as a whole, with its texts.  An empty table gives no rows.  Other columns,
+also of the names used here, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenstrand.llm import repeats, scratch
+from evenstrand.llm import scratch
 from evenstrand.ship import ship
 
 #: Strings that chat templates use as marks.
@@ -96,14 +100,14 @@ class Tree:
     def __init__(self, nodes: DataFrame, chains: DataFrame):
         #: start, n_tokens, depth, role, text (formatted), loss (intervals within the node), tokens, position_ids, attend (stream intervals)
         self.nodes = nodes
-        #: conv, turn_no, start, depth_start
+        #: key (of the conversation), conv (its id), turn_no, start, n_tokens
         self.chains = chains
 
 
 def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Tree:
     spark = turns.sparkSession
     ship(spark)
-    conv = repeats.doc_key(conv_col).alias("conv")
+    conv = F.coalesce(F.col(conv_col).cast("long").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))).alias("conv")
     ordered = turns.select(conv, F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t")).groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
             yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("turns"), pa.array([_chain(x) for x in turns], pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int64()))], ["conv", "turns", "chain", "sizes"])
 
     turn_type = "array<struct<turn: bigint, role: string, text: string>>"
-    keyed = scratch.table(ordered.select("conv", F.col("turns").cast(turn_type)).mapInArrow(chains, f"conv long, turns {turn_type}, chain array<binary>, sizes array<long>"), "chains")
+    keyed = scratch.table(ordered.select("conv", F.col("turns").cast(turn_type)).mapInArrow(chains, f"conv string, turns {turn_type}, chain array<binary>, sizes array<long>"), "chains")
     dealt = keyed.select("conv", "chain", "sizes").repartitionByRange(scratch.partitions(spark), "chain", "conv").sortWithinPartitions("chain", "conv")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +131,9 @@ def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
                 rows.append({"conv": conv, "part": part, "at": at, "shared": shared, "offset": total})
                 total += sum(sizes[shared:])
                 at, before = at + 1, chain
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("conv", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("shared", pa.int32()), ("offset", pa.int64())]))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("conv", pa.string()), ("part", pa.int32()), ("at", pa.int64()), ("shared", pa.int32()), ("offset", pa.int64())]))
 
-    ranks = scratch.table(dealt.mapInArrow(order, "conv long, part int, at long, shared int, offset long"), "order")
+    ranks = scratch.table(dealt.mapInArrow(order, "conv string, part int, at long, shared int, offset long"), "order")
     # the first and last conversation of each range: two rows a partition
     ends = ranks.groupBy("part").agg(F.min_by("conv", "at").alias("first"), F.max_by("conv", "at").alias("last"), F.max("at").alias("n"))
     named = ends.select("part", "n", F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("first").alias("conv")), F.struct(F.lit(1).alias("e"), F.col("last").alias("conv")))).alias("x")).select("part", "x.*")
@@ -177,11 +181,11 @@ def prefix_tree(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     tree = emit.select("turns", "shared", "path").mapInArrow(nodes, "start long, n_tokens long, depth int, role string, text string, loss array<struct<start: long, end: long>>, tokens array<int>, position_ids array<int>, attend array<struct<start: long, end: long>>")
-    return Tree(scratch.table(tree, "tree"), chain_rows)
+    return Tree(scratch.table(tree, "tree"), chain_rows.select(F.col("conv").alias("key"), F.expr("try_cast(conv AS long)").alias("conv"), "turn_no", "start", "n_tokens"))
 
 
 def read_back(tree: Tree) -> DataFrame:
-    """Per conversation, from the stream's tokens: conv_id, formatted, and the texts under the loss mask."""
+    """Per conversation, from the stream's tokens, position ids and intervals: conv_id, formatted, and the texts under the loss mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -189,12 +193,16 @@ def read_back(tree: Tree) -> DataFrame:
                 batch = whole.slice(at, 500)
                 texts = [t.values.to_numpy().astype("<i4", copy=False).tobytes().decode("utf-32-le") for t in batch.column("tokens")]
                 masked = [[t[x["start"] : x["end"]] for x in spans] for t, spans in zip(texts, batch.column("loss").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("start"), pa.array(texts, pa.string()), pa.array(masked, pa.list_(pa.string()))], ["start", "text", "masked"])
-
-    text = tree.nodes.select("start", "tokens", "loss").mapInArrow(run, "start long, text string, masked array<string>")
-    rows = tree.chains.join(text, "start")
-    turns = rows.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn_no", "text", "masked"))).alias("x"))
-    return turns.select(repeats.id_of("conv").alias("conv_id"), F.concat_ws("", F.col("x.text")).alias("formatted"), F.flatten("x.masked").alias("masked"))
+                first = [p[0].as_py() for p in batch.column("position_ids")]
+                yield pa.RecordBatch.from_arrays([batch.column("start"), pa.array(first, pa.int32()), batch.column("attend"), pa.array(texts, pa.string()), pa.array(masked, pa.list_(pa.string()))], ["start", "position", "attend", "text", "masked"])
+
+    read = tree.nodes.select("start", "position_ids", "attend", "tokens", "loss").mapInArrow(run, "start long, position int, attend array<struct<start: long, end: long>>, text string, masked array<string>")
+    rows = tree.chains.select("key", "conv", "start").join(read, "start")
+    nodes = F.sort_array(F.collect_list(F.struct("position", "start", "text", "masked")))
+    found = rows.groupBy("key").agg(F.first("conv").alias("conv_id"), nodes.alias("nodes"), F.max_by("attend", "position").alias("attend"))
+    within = lambda x: F.exists("attend", lambda a: (a["start"] <= x["start"]) & (x["start"] + F.length(x["text"]) <= a["end"]))
+    turns = found.select("conv_id", F.filter("nodes", within).alias("x"))
+    return turns.select("conv_id", F.concat_ws("", F.col("x.text")).alias("formatted"), F.flatten("x.masked").alias("masked"))
 
 
 def digests(back: DataFrame) -> DataFrame:

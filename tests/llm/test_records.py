@@ -123,3 +123,19 @@ def test_archives_are_members_a_plain_reader_understands(spark, tmp_path):
     text = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/w/*.warc.gz")).decode()
     assert text.count("WARC/1.1\r\n") - text.count("WARC-Type: warcinfo") == 2 and "x" * 200 + "\r\n\r\n" in text
     assert F is not None
+
+
+def test_intervals_and_positions_decide_the_reading(spark):
+    """Without an interval its turn is not read; with other position ids the turns come in another order."""
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    tree = chat.prefix_tree(turns)
+    cut = tree.nodes.withColumn("attend", F.transform("attend", lambda a: F.struct(F.greatest(a["start"], F.lit(5)).cast("long").alias("start"), a["end"].alias("end"))))
+    assert chat.read_back(chat.Tree(cut, tree.chains)).first().formatted == chat.format_turn("assistant", "b")[0]
+    turned = tree.nodes.withColumn("position_ids", F.transform("position_ids", lambda p: -p))
+    assert chat.read_back(chat.Tree(turned.withColumn("attend", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1000).cast("long").alias("end")))), tree.chains)).first().formatted.startswith(chat.START + "assistant")
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (2**63 - 1, 0, "user", "z")]
+    found = chat.digests(chat.read_back(chat.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    assert sort((r.conv_id, r.n_turns, r.loss_chars) for r in found.collect()) == sort([(None, 1, 0), (None, 1, 0), (None, 1, 1), (2**63 - 1, 1, 0)])
