@@ -6,12 +6,14 @@ Shared by substring dedup (words, an earlier document counts) and suffix-array d
 1. Seed.  Every span of `window` tokens has one winnowed anchor (flat.anchors); a row
    per anchor holds the spans that chose it, as first and last start.
 2. Join.  Anchors found once in the corpus are dropped; what follows works on the rest.
-3. Extend.  Rows of one anchor whose whole stretch is equal extend to its full length
-   both ways and are one class.  An anchor with a single class is settled.
-4. Where the classes of an anchor differ, one row of each class is extended by every
-   amount to the left and right that makes a full span: `settle` decides these spans.
-   They are dealt by anchor, block of BLOCK neighbouring starts and the tokens all
-   spans of the block share, so a hot anchor spreads over many tasks.
+3. Classes.  Rows of one anchor whose whole stretch is equal (a 64-bit hash of it under
+   a 64-bit anchor) are one class; one row of it stands for all.
+4. Extend.  The stretch of each such row is extended by every amount to the left and
+   right of the anchor that makes a full span, and `settle` decides these spans among
+   those of the same anchor.  Anchors of up to FEW classes are dealt out whole; larger
+   ones by block of BLOCK neighbouring starts and the tokens all spans of the block
+   share, so a hot anchor spreads over many tasks.
+5. What is decided goes back to all rows of the class.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from evenstrand.llm import flat, scratch
 from evenstrand.ship import ship
 
-#: Neighbouring span starts dealt out together in step 4.
-BLOCK = 16
+#: Neighbouring span starts dealt out together in step 4, for anchors of more than FEW classes.
+BLOCK, FEW = 16, 64
 #: Bytes of text worked on at once.
 CHUNK = 1 << 20
 
@@ -101,20 +103,19 @@ def shared(found: DataFrame) -> DataFrame:
     return found.join(often, "anchor", "left_semi")
 
 
-def classes(rows: DataFrame, lead: Column) -> DataFrame:
-    """rows, unpacked, with their class: n rows of equal stretch, the least `lead` of them, and whether the anchor has more classes."""
-    found = scratch.table(rows.groupBy("anchor", "stretch").agg(F.min(lead).alias("lead"), F.count("*").alias("n")), "classes")
-    several = scratch.table(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", F.lit(True).alias("several")), "several")
-    info = scratch.table(found.join(several, "anchor", "left").where("n > 1 or several").withColumn("several", F.coalesce("several", F.lit(False))), "info")
-    return unpacked(rows.join(info, ["anchor", "stretch"]))
+def classes(rows: DataFrame) -> DataFrame:
+    """A table of the classes of rows: anchor, stretch, the least (doc, tkey, place), n (rows) and m (classes of the anchor)."""
+    found = scratch.table(rows.groupBy("anchor", "stretch").agg(F.min(F.struct(*KEY, "place")).alias("c"), F.count("*").alias("n")).select("anchor", "stretch", "c.*", "n"), "classes")
+    many = scratch.table(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "several")
+    return found.join(many, "anchor", "left").withColumn("m", F.coalesce("m", F.lit(1)))
 
 
-def spans_of(texts: DataFrame, rows: DataFrame, unit: str, window: int, with_bytes: bool) -> DataFrame:
-    """Step 4's spans: a row per class row and block, with the hashes (or, for bytes, the text) of its spans.
+def spans_of(texts: DataFrame, chosen: DataFrame, unit: str, window: int, with_bytes: bool) -> DataFrame:
+    """Step 4's spans: a row per class and block, with the hashes (or, for bytes, the text) of its spans.
 
-    texts: doc, tkey, text, dealt by doc and tkey.  rows: doc, tkey, anchor, first, last, at, n.
+    texts: doc, tkey, text, dealt by doc and tkey.  chosen: rows of classes.  begin counts from the stretch's first token.
     """
-    bundled = rows.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "at", "anchor", "n")).alias("rows"))
+    bundled = unpacked(chosen).groupBy(*KEY).agg(F.collect_set(F.struct("first", "last", "at", "anchor", "stretch", "n", "m")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,20 +130,20 @@ def spans_of(texts: DataFrame, rows: DataFrame, unit: str, window: int, with_byt
         flat_rows = bundles.flatten()
         text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(bundles).to_numpy(zero_copy_only=False))
         first, last, at = (flat_rows.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-        anchor, n = (flat_rows.field(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+        anchor, stretch, n, m = (flat_rows.field(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
         # blocks of starts, counted back from the anchor
-        size = min(BLOCK, window)
-        low, high = (at - last) // size, (at - first) // size
+        hot, size = m > FEW, min(BLOCK, window)
+        low, high = np.where(hot, (at - last) // size, 0), np.where(hot, (at - first) // size, 0)
         count = high - low + 1
         row = np.repeat(np.arange(len(text)), count)
         block = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        begin = np.maximum(first[row], at[row] - (block + 1) * size + 1)
-        end = np.minimum(last[row], at[row] - block * size)
+        begin = np.where(hot[row], np.maximum(first[row], at[row] - (block + 1) * size + 1), first[row])
+        end = np.where(hot[row], np.minimum(last[row], at[row] - block * size), last[row])
         base = offsets[text[row]]
-        core = spans.hash(base + at[row] - block * size, base + at[row] - (block + 1) * size + 1 + window)
+        inner = np.where(hot[row], at[row] - block * size, 0)  # of a block's spans, the part that all share
+        core = np.where(hot[row], spans.hash(base + inner, base + np.where(hot[row], inner - size + 1 + window, 0)), np.uint64(0))
         key = flat.mix(anchor[row].view(np.uint64) + flat.mix(core) * np.uint64(flat.BASE) + block.astype(np.uint64)).view(np.int64)
-        who = pa.array(text[row])
-        columns = [pa.array(key), batch.column("doc").take(who), batch.column("tkey").take(who), pa.array(begin.astype(np.int32)), pa.array(n[row])]
+        columns = [pa.array(key), batch.column("doc").take(pa.array(text[row])), pa.array(anchor[row]), pa.array(stretch[row]), pa.array((begin - first[row]).astype(np.int32)), pa.array(n[row])]
         if with_bytes:
             cut = pa.array([texts[t][b : e + window] for t, b, e in zip(text[row].tolist(), begin.tolist(), (end).tolist(), strict=True)], pa.binary())
         else:
@@ -151,16 +152,16 @@ def spans_of(texts: DataFrame, rows: DataFrame, unit: str, window: int, with_byt
             start = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + base[owner]
             cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(spans.hash(start, start + window).view(np.int64)))
         most = 20_000
-        out = pa.RecordBatch.from_arrays([*columns, cut], ["key", "doc", "tkey", "begin", "n", "spans"])
+        out = pa.RecordBatch.from_arrays([*columns, cut], ["key", "doc", "anchor", "stretch", "begin", "n", "spans"])
         for i in range(0, out.num_rows, most):
             yield out.slice(i, most)
 
     kind = "binary" if with_bytes else "array<long>"
-    return texts.join(bundled.hint("shuffle_hash"), KEY).select(*KEY, "text", "rows").mapInArrow(run, f"key long, doc long, tkey long, begin int, n long, spans {kind}")
+    return texts.join(bundled.hint("shuffle_hash"), KEY).select(*KEY, "text", "rows").mapInArrow(run, f"key long, doc long, anchor long, stretch long, begin int, n long, spans {kind}")
 
 
-def settle(spans: DataFrame, decide: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], window: int) -> DataFrame:
-    """Ranges (doc, tkey, start, end) of the spans that `decide` marks, over rows dealt by key.
+def settle(spans: DataFrame, decide: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Per class (anchor, stretch) the set `marks` of ranges (start, end) of the spans that `decide` marks, counted from the stretch's first token.
 
     decide: gets the rows of whole keys; gives row numbers, span starts and span ends of ranges.
     """
@@ -187,9 +188,11 @@ def settle(spans: DataFrame, decide: Callable[[pa.Table], tuple[np.ndarray, np.n
         rows = pa.Table.from_batches(kept).combine_chunks()
         row, start, end = decide(rows)
         who = pa.array(row)
-        yield from pa.table({"doc": rows["doc"].take(who), "tkey": rows["tkey"].take(who), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))}).to_batches()
+        yield from pa.table({"anchor": rows["anchor"].take(who), "stretch": rows["stretch"].take(who), "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32))}).to_batches()
 
-    return spans.repartition(scratch.partitions(spans.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "doc long, tkey long, start int, end int")
+    dealt = spans.repartition(scratch.partitions(spans.sparkSession), "key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(run, "anchor long, stretch long, start int, end int")
+    return scratch.table(found.groupBy("anchor", "stretch").agg(F.collect_set(F.struct("start", "end")).alias("marks")), "marks")
 
 
 def runs(row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,8 +204,10 @@ def runs(row: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, n
     return row[head], start[head], start[np.append(head[1:], len(row)) - 1] + window
 
 
-def per_text(ranges: DataFrame) -> DataFrame:
-    """One row per text: the set of its ranges."""
+def per_text(placed: DataFrame) -> DataFrame:
+    """One row per text: the set of its ranges. placed: doc, tkey, place and the marks of the row's class."""
+    first = F.shiftright("place", 32).cast("int")
+    ranges = placed.select(*KEY, F.explode(F.transform("marks", lambda x: F.struct((first + x["start"]).alias("start"), (first + x["end"]).alias("end")))).alias("x")).select(*KEY, "x.*")
     return ranges.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 

@@ -27,14 +27,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages survive the loss of any executor."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table() that nothing reads any more."""
+    _delete(df.sparkSession, df.scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's tables; call it once results have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/evenstrand/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/evenstrand/{spark.sparkContext.applicationId}")
 
 
 def partitions(spark: SparkSession) -> int:

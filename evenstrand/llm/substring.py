@@ -2,12 +2,15 @@
 
 A run of `span` words or more that also occurs in a document with a smaller id is
 removed from the later document; what counts is the input, not what is left of it.
-Every span of `span` words is judged exactly (up to 64-bit hashes under a 64-bit
-anchor): see repeats for the seeds, their join and the extension.
-
-Null texts have no words.  Rows with a null id come after all others and are never an
-earlier document for each other.  Rows repeating an id are judged each by itself.
-Texts under `span` words never lose any.  Other columns pass through unread.
+Shared anchors are extended by every amount to the left and right that makes a span of
+`span` words, spans are compared by 64-bit hashes under a 64-bit anchor, and spans that
+touch are joined to maximal runs: see repeats for the seeds, their join and the extension.
+
+Ids are whole numbers (2**63 - 1 stands for null).  Null texts have no words.  Rows with
+a null id come after all others and are never an earlier document for each other.  Rows
+repeating an id are judged each by itself.  Texts under `span` words never lose any; long
+texts are worked on in pieces.  An empty table gives no rows.  Other columns, also of the
+names used here, pass through unread.
 """
 
 from __future__ import annotations
@@ -46,13 +49,17 @@ def _earlier(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def repeat_ranges(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, span: int, gram: int) -> DataFrame:
     """doc, tkey and the word ranges that stand in an earlier document."""
-    base = repeats.keyed(docs, id_col, text_col)
-    found = scratch.table(repeats.occurrences(base, "word", gram, span), "anchors")
-    rows = repeats.classes(scratch.table(repeats.shared(found), "shared"), F.col("doc"))
-    whole = rows.where("doc > lead").select(*repeats.KEY, F.col("first").alias("start"), (F.col("last") + span).alias("end"))
-    open_rows = rows.where("doc = lead and several").select(*repeats.KEY, "anchor", "first", "last", "at", "n")
-    spans = repeats.spans_of(texts, open_rows, "word", span, False)
-    return repeats.per_text(whole.union(repeats.settle(spans, lambda t: repeats.runs(*_earlier(t), span), span)))
+    found = scratch.table(repeats.occurrences(repeats.keyed(docs, id_col, text_col), "word", gram, span), "anchors")
+    rows = scratch.table(repeats.shared(found), "shared")
+    scratch.drop(found)
+    chosen = repeats.classes(rows)
+    marks = repeats.settle(repeats.spans_of(texts, chosen.where("m > 1"), "word", span, False), lambda t: repeats.runs(*_earlier(t), span))
+    info = scratch.table(chosen.where("n > 1 or m > 1").select("anchor", "stretch", F.col("doc").alias("lead")).join(marks, ["anchor", "stretch"], "left"), "info")
+    # rows of the class's first document keep to its marks; in later ones the whole stretch is a repeat
+    length = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int") + span
+    whole = F.array(F.struct(F.lit(0).alias("start"), length.alias("end")))
+    placed = rows.join(info, ["anchor", "stretch"]).withColumn("marks", F.when(F.col("doc") > F.col("lead"), whole).otherwise(F.col("marks"))).where("marks IS NOT NULL")
+    return repeats.per_text(placed)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:

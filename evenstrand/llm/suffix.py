@@ -2,20 +2,21 @@
 
 Every byte covered by a `span`-byte string that also starts anywhere else, in the same
 document or another, is removed; matches never cross documents.  Winnowed byte anchors
-(see repeats) leave the suffixes that can repeat.  Stretches found more than once as a
-whole count as one entry with its number of copies; the suffixes of stretches that
-differ under a shared anchor are sorted:
+(see repeats) leave the suffixes that can repeat.  Equal stretches under one anchor go
+in once, with their number of copies; all suffixes of all of them are sorted:
 
 - shallow: a multikey sort on 8-byte characters orders all groups at once to DEPTH bytes;
 - deep: groups that still agree go into blind tries.  Each group's first suffix is the
   trie's leading path; the others hang off it at the first bit where they differ, and
   those that leave at the same bit form the next level's group.
 
-Suffixes are compared over their first `span` bytes; neighbours that agree so far are
-repeats.
+Suffixes are compared over their first `span` bytes; neighbours that agree so far, and
+suffixes of more than one copy, are repeats.
 
-Null and empty texts have no bytes.  Rows repeating an id are separate documents, and
-equal rows repeat each other.  Texts under `span` bytes never lose any.
+Ids are whole numbers (2**63 - 1 stands for null).  Null and empty texts have no bytes.
+Rows repeating an id are separate documents, and equal rows repeat each other.  Texts
+under `span` bytes never lose any; long texts are worked on in pieces.  An empty table
+gives no rows.  Other columns, also of the names used here, are not read.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def deep_shallow_sort(data: np.ndarray, suffixes: np.ndarray, span: int) -> tupl
 
 
 def _repeated(rows: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """The spans of rows found once as a whole (n = 1) that equal another span."""
+    """The spans of rows that more than one suffix begins with, counting a row's n copies."""
     cut = rows["spans"].combine_chunks()
     lengths = pc.binary_length(cut).to_numpy().astype(np.int64)
     data = np.frombuffer(b"".join(cut.to_pylist()), np.uint8)
@@ -138,7 +139,7 @@ def _repeated(rows: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray]:
     order, run = deep_shallow_sort(data, suffixes, span)
     total = np.zeros(int(run[-1]) + 1 if len(run) else 0, np.int64)
     np.add.at(total, run, copies[row[order]])
-    marked = np.sort(order[(total[run] > 1) & (copies[row[order]] == 1)]) if len(order) else order
+    marked = np.sort(order[total[run] > 1]) if len(order) else order
     return row[marked], rows["begin"].to_numpy().astype(np.int64)[row[marked]] + place[marked]
 
 
@@ -146,12 +147,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_bytes, n_removed, spans (removed byte ranges, maximal), kept (the bytes left, which may split a character)."""
     texts = repeats.keyed(docs, id_col, text_col).repartition(scratch.partitions(docs.sparkSession), *repeats.KEY)
     found = scratch.table(repeats.occurrences(repeats.keyed(docs, id_col, text_col), "byte", gram, span), "anchors")
-    rows = repeats.classes(scratch.table(repeats.shared(found), "shared"), F.xxhash64("doc", "tkey", F.shiftright("place", 32).cast("int")))
-    me = F.xxhash64("doc", "tkey", "first")
-    whole = rows.where("n > 1").select(*repeats.KEY, F.col("first").alias("start"), (F.col("last") + span).alias("end"))
-    open_rows = rows.where((me == F.col("lead")) & F.col("several")).select(*repeats.KEY, "anchor", "first", "last", "at", "n")
-    spans = repeats.spans_of(texts, open_rows, "byte", span, True)
-    ranges = repeats.per_text(whole.union(repeats.settle(spans, lambda t: repeats.runs(*_repeated(t, span), span), span)))
+    rows = scratch.table(repeats.shared(found), "shared")
+    scratch.drop(found)
+    marks = repeats.settle(repeats.spans_of(texts, repeats.classes(rows), "byte", span, True), lambda t: repeats.runs(*_repeated(t, span), span))
+    ranges = repeats.per_text(rows.join(marks, ["anchor", "stretch"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:

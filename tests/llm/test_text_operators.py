@@ -49,6 +49,14 @@ def test_repeats_on_the_table(spark, real):
     assert sort(suffix.op9_suffix_array_dedup(spark, SF).collect()) == sort(brute.op9(real))
 
 
+def test_hot_anchors_are_dealt_by_block(spark, docs, rows, monkeypatch):
+    from evenstrand.llm import repeats
+
+    monkeypatch.setattr(repeats, "FEW", 1)
+    assert sort(digest1(substring.find_repeats(docs, span=12, gram=3))) == sort(brute.op1(rows, 12))
+    assert sort(digest9(suffix.find_repeats(docs, span=61, gram=20))) == sort(brute.op9(rows, 61))
+
+
 @pytest.mark.parametrize("span", [5, 16, 37, 64])
 def test_deep_shallow_sort_is_a_sort(span):
     rng = np.random.default_rng(span)
