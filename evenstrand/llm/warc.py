@@ -10,9 +10,13 @@ the response and the others revisit it: they keep the HTTP header, with the leng
 the digest.  Shorter payloads are always responses.  Rows repeating that smallest id
 with the same payload are responses as well.
 
+The digest that a record's header needs before its payload is Spark's, of the html that
+the table holds in one value; all after it goes by chunks.
+
 Null html is an empty payload, a null url becomes about:blank, control characters and
-spaces in urls are percent-encoded.  A null page id comes after all others and is read
-back as null.  File names carry the writing attempt and only listed files count, so a
+spaces in urls are percent-encoded.  Page ids are whole numbers; a null one comes after
+all others and is read back as null.  An empty table gives no records.  Other columns,
+also of the names used here, are not read.  File names carry the writing attempt and only listed files count, so a
 task that runs again leaves no double.
 """
 
@@ -32,7 +36,7 @@ from evenstrand.llm import repeats, scratch
 from evenstrand.llm.tokenfile import file_system
 from evenstrand.ship import ship
 
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 SAME = 100
 URN = "urn:x-page:"
 DATE = "1970-01-01T00:00:00Z"
@@ -53,9 +57,10 @@ def chunk_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     marked = joined.select("page", "no_id", "url", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"), "payload")
     kept = F.when(F.col("kind") == "response", F.col("size")).otherwise(0)
     count = F.greatest(F.lit(1), F.ceil(kept / chunk)).cast("int")
-    rows = marked.withColumn("count", count).select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("chunk_no"))
-    data = F.when(F.col("kind") == "response", F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit("").cast("binary"))
-    return rows.select("page", "no_id", "url", "digest", "size", "kind", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("count") - 1).alias("last"), data.alias("data"))
+    piece = lambda i: F.when(F.col("kind") == "response", F.substring("payload", i * chunk + 1, F.lit(chunk))).otherwise(F.lit("").cast("binary"))
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("chunk_no"), (i == count - 1).alias("last"), piece(i).alias("data")))
+    # the payload ends here: rows hold their chunk alone
+    return marked.select("page", "no_id", "url", "digest", "size", "kind", "refers_to", F.explode(chunks).alias("x")).select("page", "no_id", "url", "digest", "size", "kind", "refers_to", "x.chunk_no", "x.last", "x.data")
 
 
 def _name(page: int | None) -> str:
@@ -93,7 +98,7 @@ def write_archives(chunks: DataFrame, out: str) -> DataFrame:
             member = zlib.compressobj(6, zlib.DEFLATED, 31)
             sink.write(member.compress(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n") + member.flush())
             for batch in batches:
-                for i in range(batch.num_rows):
+                for i in range(batch.num_rows):  # a row at a time: a chunk, never a whole payload
                     row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                     if not row["chunk_no"]:
                         member = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -231,7 +236,7 @@ def read_archives(spark: SparkSession, files: DataFrame, chunk: int = CHUNK, wit
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     files = write_archives(chunk_table(pages), scratch.new_path(spark, "warc"))
-    back = read_archives(spark, files, with_data=False).where("last")
+    back = read_archives(spark, files).where("last")
     return back.select("page_id", "payload_bytes", F.coalesce("digest_so_far", "declared_digest").alias("payload_digest"), "record_type", "refers_to")
 
 
