@@ -26,7 +26,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -213,11 +213,8 @@ class Lists:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
 
-    def get(self, names: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the names end to end, and how many each has."""
-        return self.of(np.fromiter(map(self.at.__getitem__, names), np.int64, len(names)))
-
     def of(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the lists of these numbers end to end, and how many each has."""
         if not len(used):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         sizes = self.sizes[used]
@@ -257,11 +254,14 @@ class WordEncoder:
         own, rest = self._split(new) if self.parts else ([], new)
         if own:
             cut = self.parts.find((b"\n".join(own) + b"\n").decode().lower())
-            unknown = [p for p in dict.fromkeys(cut) if p not in self.known.at]
-            if unknown:
+            used = np.fromiter(map(self.known.at.get, cut, repeat(-1)), np.int64, len(cut))
+            missing = np.flatnonzero(used < 0)
+            if len(missing):
+                met = [cut[i] for i in missing.tolist()]
+                unknown = list(dict.fromkeys(met))
                 self.known.add(unknown, *self.parts.ids(unknown))
                 self.held += sum(map(len, unknown))
-            used = np.fromiter(map(self.known.at.__getitem__, cut), np.int64, len(cut))
+                used[missing] = np.fromiter(map(self.known.at.__getitem__, met), np.int64, len(met))
             ids, sizes = self.known.of(used)
             ends = np.cumsum(sizes)[used == self.known.at["\n"]]
             self.words.add(own, ids, np.diff(ends, prepend=0))
@@ -291,10 +291,13 @@ class WordEncoder:
             mine = text.split()
             counts.append(len(mine))
             words += mine
-        new = [w for w in dict.fromkeys(words) if w not in self.words.at]
-        if new:
-            self._learn(new)
-        ids, sizes = self.words.get(words)
+        used = np.fromiter(map(self.words.at.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(used < 0)
+        if len(missing):
+            met = [words[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(met)))
+            used[missing] = np.fromiter(map(self.words.at.__getitem__, met), np.int64, len(met))
+        ids, sizes = self.words.of(used)
         cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         offsets = np.concatenate([[0], np.cumsum(np.diff(cuts) + 1)]).astype(np.int64)
         out = np.full(offsets[-1], end, np.uint32)
