@@ -33,6 +33,8 @@ from evenstrand.ship import ship
 SHINGLE = 3
 DISTANCE = 2
 COLD = 64
+#: Links up to which a round of components() is one job, and the files it writes then; the result is the same.
+FEW_EDGES, FILES = 1 << 20, 8
 #: Shingle hashes counted at once.
 SLICE = 1 << 15
 
@@ -96,19 +98,22 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b) but the roots: root is the component's least node. Alternating star contraction."""
     edges = scratch.table(edges, "edges")
-    before = None
+    n, before = edges.count(), None
     while True:
+        few = n <= FEW_EDGES
+        step = (lambda df, name: df) if few else scratch.table  # tables let Spark split a hot node's partition
         both = edges.union(edges.select("b", "a"))
-        least = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "large")
+        least = step(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "large")
         large = both.join(least, both.a == least.node).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        large = scratch.table(large, "large_edges")
-        least = scratch.table(large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), "m"), "small")
+        large = step(large, "large_edges")
+        least = step(large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), "m"), "small")
         small = large.join(least, large.b == least.node)
-        edges = scratch.table(small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b")).where("a < b").distinct(), "small_edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        less = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
+        edges = scratch.table(less.coalesce(FILES) if few else less, "small_edges")
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = now
+        n, before = now.n, now
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -110,8 +110,9 @@ def test_simhash_hot_buckets(spark, monkeypatch):
     signed = sorted(f - 2**64 if f >= 2**63 else f for f in fps)
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     got = []
-    for cold in (64, 3):
+    for cold, few in ((64, 1 << 20), (3, 0)):
         monkeypatch.setattr(simhash, "COLD", cold)
+        monkeypatch.setattr(simhash, "FEW_EDGES", few)
         got.append(sort(simhash.components(simhash.links(df)).collect()))
     assert got[0] == got[1] and len(got[0]) > 50
     unsigned = {f: f % 2**64 for f in signed}
