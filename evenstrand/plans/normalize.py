@@ -131,7 +131,7 @@ def normalize(reads: DataFrame, c: Config, extra: DataFrame | None = None) -> Re
 
 
 def _overlaps_often(reads: DataFrame) -> bool:
-    """Whether mates overlap in most of a hundredth of the pairs, chosen by hash: a probe that only switches repair on."""
+    """Whether repair changes any of a hundredth of the pairs, chosen by hash: a probe that only switches repair on."""
     some = reads.where(F.pmod(F.xxhash64(*PAIR), F.lit(100)) == 0)
     fixed = _repair(some.select(*KEY, "bases", "quals"))
     return fixed.join(some.select(*KEY, F.col("bases").alias("old")), KEY).where("bases <> old").count() > 0
@@ -172,11 +172,12 @@ HIST_HEADER = ["#Depth", "Raw_Count", "Unique_Kmers"]
 
 def run(spark: SparkSession, c: Config) -> Result:
     """Read the inputs of c, normalise, and write everything that c names."""
+    sinks.check_lists(c)
     reads = save(source.load(spark, c), "reads")
     extra = None
-    for path in c.extra:
-        one = source.single(source.read(spark, path, c)).select(F.lit(0).alias("file_idx"), "*")
-        extra = one if extra is None else extra.unionByName(one.withColumn("file_idx", F.lit(1)))
+    for number, path in enumerate(c.extra):
+        one = source.single(source.read(spark, path, c)).select(F.lit(number).alias("file_idx"), "*")
+        extra = one if extra is None else extra.unionByName(one)
     result = normalize(reads, c, extra)
     header = "\t".join(HIST_HEADER[: c.hist_columns])
     for side, rows, in_counts in (("", reads, result.counts), ("out", None, None)):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evenstrand.config import Config
 from evenstrand.functions import bases
-from evenstrand.sources.reads import is_fasta
+from evenstrand.sources.reads import is_fasta, split_list
 
 
 def record(path: str, c: Config) -> Column:
@@ -45,18 +45,25 @@ def write_reads(reads: DataFrame, path: str | None, c: Config) -> None:
     (writer.option("compression", "gzip") if path.endswith(".gz") else writer).text(path)
 
 
+def check_lists(c: Config) -> None:
+    """A list of outputs must name one for each input."""
+    inputs = len(split_list(c.in1))
+    for name, path in c.outs.items():
+        if path and "," in path and len(path.split(",")) != inputs:
+            raise ValueError(f"{len(path.split(','))} outputs are listed for {name}, but {inputs} inputs")
+
+
 def write_streams(decided: DataFrame, c: Config) -> None:
     """Route reads to their outputs by the columns keep, bin and uncorrected of decided; mate 2 goes to its own path if there is one."""
     streams = {"keep": F.col("keep"), "toss": ~F.col("keep"), "low": F.col("bin") == "low", "mid": F.col("bin") == "mid", "high": F.col("bin") == "high", "uncorrected": F.col("uncorrected")}
     for name, wanted in streams.items():
         one, two = c.outs.get(name), c.outs.get(name + "2")
         rows = decided.where(wanted)
-        if two:
-            write_reads(rows.where("mate = 2"), two, c)
-            rows = rows.where("mate = 1")
-        parts = one.split(",") if one and "," in one else [one]
-        for i, path in enumerate(parts):  # a list of outputs follows the list of inputs
-            write_reads(rows.where(F.col("file_idx") == i) if len(parts) > 1 else rows, path, c)
+        sides = [(one, rows)] if not two else [(two, rows.where("mate = 2")), (one, rows.where("mate = 1"))]
+        for side, some in sides:
+            parts = side.split(",") if side and "," in side else [side]
+            for i, path in enumerate(parts):  # a list of outputs follows the list of inputs
+                write_reads(some.where(F.col("file_idx") == i) if len(parts) > 1 else some, path, c)
 
 
 def table_text(df: DataFrame, header: str, comments: list[str] = ()) -> str:

@@ -77,7 +77,24 @@ def test_two_peaks_give_ploidy_and_genome_size():
     found = peaks.call_peaks(unique, Config())
     assert len(found) == 2 and abs(found[0].center - 25) <= 1 and abs(found[1].center - 50) <= 1
     stats = dict(peaks.statistics(found, unique, Config()))
-    assert (stats["ploidy"], stats["main_peak"], stats["fold_coverage"]) == (2, found[1].center, found[0].center)
+    assert (stats["ploidy"], stats["main_peak"], stats["fold_coverage"]) == (2, found[1].center, found[1].center // 2)
+
+
+def test_each_extra_input_counts_for_itself(spark, tmp_path):
+    for name in "abcd":
+        write_fastq(tmp_path / f"{name}.fq", [("r", "ACGTTGCA", "IIIIIIII")])
+    c = parse_args([f"in={tmp_path}/a.fq", f"extra={tmp_path}/b.fq,{tmp_path}/c.fq,{tmp_path}/d.fq", "k=8", "passes=1", "minq=0", "minprob=0", "keepall=t"])
+    assert [r.depth for r in plan.run(spark, c).counts.collect()] == [4]
+
+
+def test_output_lists_follow_input_lists(spark, tmp_path):
+    for name in "ab":
+        write_fastq(tmp_path / f"{name}.fq", [("r", "ACGTTGCA", "IIIIIIII")] * 2)
+    two = [f"in={tmp_path}/a.fq,{tmp_path}/b.fq", "k=8", "passes=1", "minq=0", "minprob=0", "minkmers=1", "min=1", "keepall=t", "int=f"]
+    plan.run(spark, parse_args([*two, f"out={tmp_path}/x,{tmp_path}/y"]))
+    assert len(spark.read.text(f"{tmp_path}/x").collect()) == len(spark.read.text(f"{tmp_path}/y").collect()) == 8
+    with pytest.raises(ValueError, match="outputs"):
+        plan.run(spark, parse_args([*two, f"out={tmp_path}/x1,{tmp_path}/y1,{tmp_path}/z1"]))
 
 
 CLEAN, MUTANT = "ACGTTGCATGTCAGTACCGTAACGTTGCA", "ACGTTGCATGTCAGAACCGTAACGTTGCA"
