@@ -100,8 +100,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = scratch.table(edges, "edges")
     n, before = edges.count(), None
     while True:
-        few = n <= FEW_EDGES
-        step = (lambda df, name: df) if few else scratch.table  # tables let Spark split a hot node's partition
+        few, done = n <= FEW_EDGES, [edges]
+
+        def step(df: DataFrame, name: str) -> DataFrame:  # tables let Spark split a hot node's partition
+            if not few:
+                done.append(df := scratch.table(df, name))
+            return df
+
         both = edges.union(edges.select("b", "a"))
         least = step(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "large")
         large = both.join(least, both.a == least.node).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
@@ -110,6 +115,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, large.b == least.node)
         less = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
         edges = scratch.table(less.coalesce(FILES) if few else less, "small_edges")
+        for df in done:
+            scratch.drop(df)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -158,7 +158,10 @@ def verified(pairs: DataFrame, about: DataFrame, texts: DataFrame, shingle: int,
     whole = scratch.table(whole_sets(texts.join(named, KEY), shingle).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     side = lambda c: whole.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return scratch.table(both.where((p + q) * F.size(F.array_intersect("sa", "sb")) >= p * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+    found = scratch.table(both.where((p + q) * F.size(F.array_intersect("sa", "sb")) >= p * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+    scratch.drop(pairs)
+    scratch.drop(whole)
+    return found
 
 
 def simhash_pairs(about: DataFrame) -> DataFrame:
@@ -202,6 +205,7 @@ def links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: Fractio
         if not last:  # one a node: the others come in later rounds where they still join anything
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(number))).alias("b"))
         more = verified(pairs, about, texts, shingle, similarity)
+        scratch.drop(at)
         found = found.union(more)
         if last:
             return found
