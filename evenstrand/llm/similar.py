@@ -43,7 +43,7 @@ SAMPLE, OFTEN, HOT = 16, 8, 100_000
 #: Bits of a set's parity, at least.
 BITS = 512
 KEY = repeats.KEY
-#: Rounds of comparing with one node of a bucket, at most, and the pairs a bucket's row may cost before another is made; one without a new link is the last.
+#: Rounds of comparing with one node of a bucket, at most, and the pairs a bucket's row may cost before another is made. One after which half the pairs or more are left is the last but one: rounds save pairs, and these saved too few.
 ROUNDS, FEW = 6, 16
 
 
@@ -183,7 +183,7 @@ def links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: Fractio
     dealt = each.repartition(scratch.partitions(spark), "key")  # one exchange serves the count and the join
     often = dealt.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     members = scratch.table(dealt.join(often.hint("shuffle_hash"), "key").distinct(), "members")
-    idle = False
+    before = float("inf")
     for number in range(1, ROUNDS + 1):
         roots = simhash.components(found).withColumnRenamed("node", "__node")
         at = members.join(roots, members.node == roots.__node, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -193,7 +193,8 @@ def links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: Fractio
         cost, rows = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
         if not rows:
             return found
-        last = idle or number == ROUNDS or cost <= FEW * rows
+        last = number == ROUNDS or cost <= FEW * rows or 2 * cost >= before
+        before = cost
         if last:
             other = at
         else:
@@ -209,7 +210,6 @@ def links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: Fractio
         found = found.union(more)
         if last:
             return found
-        idle = more.isEmpty()
     return found
 
 
