@@ -9,7 +9,9 @@ A fingerprint of 64 bits can't go further: at similarity 0.8 about ten bits diff
 rest is found exactly.  Sets are put in one order for all, shingles that a sample finds
 in many texts last.  Of two sets of similarity p/q or more, with n shingles in the one,
 the first n - ceil(n p/q) + 1 of each share one (prefix filter), so nodes that share none
-are never compared.
+are never compared.  Buckets are of one shingle and two neighbouring classes of size, and
+nodes meet only where the shingle can be the first they share: i + j shingles before it
+are in one set only, of at most (q - p)/(q + p) of both sets' shingles in similar sets.
 
 Only components are asked for, so groups are not paired off: for some rounds each node
 is compared with one chosen of its buckets, and what is left at the end are pairs of a
@@ -25,12 +27,13 @@ largest.  Other columns, also of the names used here, pass through unread.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenstrand.llm import flat, repeats, scratch, simhash
@@ -164,6 +167,13 @@ def verified(pairs: DataFrame, about: DataFrame, texts: DataFrame, shingle: int,
     return found
 
 
+def fits(similarity: Fraction) -> Column:
+    """Whether sets x and y may be similar with a shingle at these places as the first they share: all before it, in both, is not shared."""
+    p, q = similarity.numerator, similarity.denominator
+    sizes = F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p
+    return sizes & ((F.col("x.place") + F.col("y.place")) * (p + q) <= (F.col("x.n") + F.col("y.n")) * (q - p))
+
+
 def simhash_pairs(about: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes with one fingerprint, or with two that differ in few bits: one node stands for a fingerprint."""
     fps = scratch.table(about.groupBy("fp").agg(F.min("node").alias("lead")), "fingerprints")
@@ -179,17 +189,20 @@ def links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: Fractio
     nodes = marked.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "tkey", "fp", "n")).alias("x"), F.first("parity").alias("parity"))
     about = scratch.table(nodes.select("node", "x.*", "parity"), "about")
     found = verified(possible(simhash_pairs(about), about, similarity), about, texts, shingle, similarity)
-    each = marked.join(about.select("node", *KEY), [*KEY, "node"], "left_semi").select("node", F.explode("first").alias("key"))
+    each = marked.join(about.select("node", *KEY), [*KEY, "node"], "left_semi").select("node", "n", F.posexplode("first").alias("place", "key"))
     dealt = each.repartition(scratch.partitions(spark), "key")  # one exchange serves the count and the join
     often = dealt.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    members = scratch.table(dealt.join(often.hint("shuffle_hash"), "key").distinct(), "members")
+    # of similar sets the classes of size are equal or neighbours; each set stands in its own and the one below
+    size = F.floor(F.log("n") / F.lit(math.log(similarity.denominator / similarity.numerator) * (1 + 1e-9)))
+    known = dealt.join(often.hint("shuffle_hash"), "key").distinct().withColumn("size", size)
+    members = scratch.table(known.select("*", F.explode(F.array("size", F.col("size") - 1)).alias("slot")), "members")
     before = float("inf")
     for number in range(1, ROUNDS + 1):
         roots = simhash.components(found).withColumnRenamed("node", "__node")
-        at = members.join(roots, members.node == roots.__node, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        at = scratch.table(at.join(mixed, "key"), "open")
-        per = at.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"), F.sum("n").alias("n"))
+        at = members.join(roots, members.node == roots.__node, "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
+        mixed = at.groupBy("key", "slot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "slot")
+        at = scratch.table(at.join(mixed, ["key", "slot"]), "open")
+        per = at.groupBy("key", "slot", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key", "slot").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"), F.sum("n").alias("n"))
         cost, rows = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0.0))).first()
         if not rows:
             return found
@@ -199,9 +212,10 @@ def links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: Fractio
             other = at
         else:
             # a number per node and round, the same in all buckets
-            chosen = F.struct(F.xxhash64("node", F.lit(number)).alias("by"), "node", "root")
-            other = at.groupBy("key").agg(F.min(chosen).alias("c")).select("key", "c.node", "c.root")
-        pairs = at.alias("x").join(other.alias("y"), F.expr("x.key = y.key AND x.root <> y.root" + (" AND x.node < y.node" if last else ""))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            chosen = F.struct(F.xxhash64("node", F.lit(number)).alias("by"), "node", "n", "place", "size", "root")
+            other = at.groupBy("key", "slot").agg(F.min(chosen).alias("c")).select("key", "slot", "c.*")
+        meet = F.expr("x.key = y.key AND x.slot = y.slot AND x.root <> y.root AND x.slot = least(x.size, y.size)" + (" AND x.node < y.node" if last else ""))
+        pairs = at.alias("x").join(other.alias("y"), meet & fits(similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
         pairs = possible(pairs, about, similarity)
         if not last:  # one a node: the others come in later rounds where they still join anything
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(number))).alias("b"))
