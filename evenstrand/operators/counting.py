@@ -115,6 +115,10 @@ def is_row_unit(reads: Reads) -> bool:
 
 def count_kmers(reads: Reads, c: Config) -> DataFrame:
     """kmer, depth: the number of units (or, without rdk, of windows) that hold the k-mer with good enough qualities."""
+    if not reads.quals and set(reads.key) - set(reads.unit) == {"mate"}:
+        # mates side by side, with a letter between that no k-mer holds
+        both = reads.df.groupBy(*reads.unit).agg(F.concat_ws("N", F.collect_list(reads.bases)).alias("bases"))
+        reads = Reads(both, reads.unit, reads.unit)
     if is_row_unit(reads) and not reads.quals:
         found = unit_counts(reads, c).groupBy("kmer").agg(F.sum("units" if c.rdk else "raw").alias("depth"))
     else:
@@ -153,13 +157,73 @@ def window_depths(reads: Reads, counts: DataFrame, c: Config) -> DataFrame:
 
 
 def coverage(reads: Reads, counts: DataFrame, c: Config) -> DataFrame:
-    """Read key and cov, the depths of its windows in order; reads without windows have an empty cov."""
-    cov = window_depths(reads, counts, c).groupBy(*reads.key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "depth"))), lambda x: x["depth"]).alias("cov"))
-    out = reads.df.select(*reads.key, F.length(reads.bases).alias("length")).join(cov, list(reads.key), "left")
-    out = out.withColumn("cov", F.coalesce("cov", F.array().cast("array<long>")))
+    """Read key (of one row each), length and cov, the depths of its windows in order; reads without windows have an empty cov.
+
+    Each read sends a head row along with its windows, so that the rows, once they have met
+    the counts, are packed in one pass over sorted partitions and not joined to the reads again.
+    """
+    names, low = list(reads.key), F.lit(0xFFFFFFFF)
+    met = _marked_windows(reads, c).join(counts, "kmer", "left")
+    above = (-F.col("kmer") - 1).bitwiseAND(low)
+    length = F.when(above != low, above)
+    depth = F.when(F.col("pos") < 0, length).when(F.col("kmer") < 0, -1).otherwise(F.coalesce("depth", F.lit(0))).cast("long")
+    dealt = met.select(*names, "pos", depth.alias("depth")).repartition(*names).sortWithinPartitions(F.xxhash64(*names), *names, "pos")
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if rows.num_rows:
+            head = rows.column("pos").to_numpy() < 0
+            at = np.flatnonzero(head)
+            offsets = np.append(at - np.arange(len(at)), rows.num_rows - len(at))
+            cov = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rows.column("depth").filter(pa.array(~head)).combine_chunks())
+            heads = rows.take(pa.array(at)).combine_chunks()
+            columns = [heads.column(n).combine_chunks() for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, heads.column("depth").combine_chunks().cast(pa.int32()), cov], [*names, "length", "cov"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            at = np.flatnonzero(batch.column("pos").to_numpy() < 0)
+            if not len(at):
+                held.append(batch)
+                continue
+            yield from packed([*held, batch.slice(0, at[-1])])
+            held = [batch.slice(at[-1])]
+        if held:
+            yield from packed(held)
+
+    out = dealt.mapInArrow(run, T.StructType([*(dealt.schema[n] for n in names), T.StructField("length", T.IntegerType()), T.StructField("cov", T.ArrayType(T.LongType()))]))
     return out.withColumn("cov", fix_spikes(F.col("cov"))) if c.fix_spikes else out
 
 
+def _marked_windows(reads: Reads, c: Config) -> DataFrame:
+    """Read key, pos, kmer of every window, and a row of pos -1 per read; where there is no k-mer, kmer is negative.
+
+    It is -1 - x: the low 32 bits of x are a head row's length (all set: null), the others
+    come from the read's key and the place, so that these rows are dealt evenly.
+    """
+    ship(reads.df.sparkSession)
+    names, k = list(reads.key), c.k
+    source = reads.df.select(*names, F.col(reads.bases).alias("__b"), F.coalesce(F.length(reads.bases).cast("long"), F.lit(0xFFFFFFFF)).alias("__n"), F.xxhash64(*names).alias("__h"))
+
+    def spread(h: np.ndarray, place: np.ndarray) -> np.ndarray:
+        x = h.view(np.uint64) ^ (place.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return ((x >> np.uint64(33)) << np.uint64(32)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole):
+                read, place, key = kmers.batch_keys(*_flat(batch.column("__b")), k)
+                n, h = batch.column("__n").to_numpy(), batch.column("__h").to_numpy()
+                key = np.where(key < 0, -1 - spread(h[read], place), key)
+                heads = -1 - (spread(h, np.full(len(h), -1)) | n)
+                who = pa.array(np.append(np.arange(batch.num_rows), read))
+                pos = np.append(np.full(batch.num_rows, -1, np.int32), place.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(who) for x in names), pa.array(pos), pa.array(np.append(heads, key))], [*names, "pos", "kmer"])
+
+    return source.mapInArrow(run, T.StructType([*(source.schema[x] for x in names), T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.LongType())]))
+
+
 def fix_spikes(cov):
     """A window deeper than both neighbours is lowered to the deeper of them (our rule); ends and invalid windows stay."""
     fixed = lambda x, i: F.when((i > 0) & (i < F.size(cov) - 1) & (x > 0), F.least(x, F.greatest(F.get(cov, i - 1), F.get(cov, i + 1), F.lit(0)))).otherwise(x)

@@ -24,7 +24,7 @@ def depth_at(cov: Column, p: float) -> Column:
 
 def score(cov: DataFrame, c: Config) -> DataFrame:
     """cov's reads with depth, true_depth, high, low, good (k-mers of min depth or more), bad."""
-    valid = cov.withColumn("sorted", F.array_sort(F.filter("cov", lambda x: x >= 0)))
+    valid = cov.withColumn("sorted", F.sort_array(F.filter("cov", lambda x: x >= 0)))
     s = F.col("sorted")
     scored = valid.withColumns({
         "depth": depth_at(s, c.percentile),

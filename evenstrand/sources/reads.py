@@ -148,10 +148,10 @@ def spool_stdin(stream, path: str) -> str:
 def reads_of_documents(docs: DataFrame, size: int = 100, least: int = 31) -> DataFrame:
     """Texts as reads: letters A-Z become ACGT by turns, cut every `size`; doc_id, frag, bases, quals."""
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
-    up = F.translate(letters, bases.LOWER, bases.UPPER)
+    up = F.upper(letters)
     seq = F.translate(up, bases.UPPER, "ACGTACGTACGTACGTACGTACGTAC")
     q = F.translate(up, bases.UPPER, "56789:;<=>?@ABCDEFGHIJKLMN")
     one = docs.select("doc_id", seq.alias("s"), q.alias("q")).where(F.length("s") >= least)
-    cut = one.select("doc_id", "s", "q", F.explode(F.sequence(F.lit(0), F.expr(f"(length(s) - 1) div {size}"))).alias("frag"))
-    piece = lambda c: F.substring(c, (F.col("frag") * size + 1).cast("int"), F.lit(size))
-    return cut.select("doc_id", F.col("frag").cast("long").alias("frag"), piece(F.col("s")).alias("bases"), piece(F.col("q")).alias("quals")).where(F.length("bases") >= least)
+    cut = lambda c: F.regexp_extract_all(c, F.lit(f".{{1,{size}}}"), F.lit(0))  # noqa: E731  # one walk over the text
+    pieces = one.select("doc_id", F.posexplode(F.arrays_zip(cut("s").alias("bases"), cut("q").alias("quals"))).alias("frag", "x"))
+    return pieces.select("doc_id", F.col("frag").cast("long").alias("frag"), "x.bases", "x.quals").where(F.length("bases") >= least)
