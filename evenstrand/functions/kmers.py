@@ -101,6 +101,29 @@ def _hash(parts: list[np.ndarray]) -> np.ndarray:
     return x
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two-bit codes, four a byte, the first one highest; the last byte is filled with zeros."""
+    four = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint8)]).reshape(-1, 4)
+    return four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]
+
+
+def packed_keys(four: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Keys of the windows of up to 31 bases that begin at these places of packed codes."""
+    padded = np.concatenate([four, np.zeros(9, np.uint8)])
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").ravel().astype(np.uint64)
+    byte, shift = at >> 2, ((at & 3) << 1).astype(np.uint64)
+    f = eight[byte] << shift
+    if 2 * k + 6 > 64:
+        f |= padded[byte + 8].astype(np.uint64) >> (np.uint64(8) - shift)
+    unused = np.uint64(64 - 2 * k)
+    f >>= unused
+    r = ~f
+    two, four_bits = np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+    r = (r >> np.uint64(2)) & two | (r & two) << np.uint64(2)
+    r = (r >> np.uint64(4)) & four_bits | (r & four_bits) << np.uint64(4)
+    return np.maximum(f, r.byteswap() >> unused).view(np.int64)
+
+
 def batch_keys(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(read, place, key) of every window of reads laid end to end; key -1 where invalid."""
     lengths = np.diff(offsets)
@@ -115,10 +138,10 @@ def batch_keys(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
     valid = bad[at + k] == bad[at]
     base = np.minimum(base, 3)
     size, words = layout(k)
-    f, r = _codes(base, size)
     if words == 1:
-        keys = np.maximum(f, r)[at]
+        keys = packed_keys(packed(base), at, k)
     else:
+        f, r = _codes(base, size)
         start = at + (k - size * words)
         ahead = [f[start + w * size] for w in range(words)]
         back = [r[start + w * size] for w in reversed(range(words))]

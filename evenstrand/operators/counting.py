@@ -5,27 +5,33 @@ Reads come as a DataFrame with a unit (read, or pair of reads), a place in it an
 counted by Spark with map-side partial sums.  A k-mer counts once per unit (rdk).
 
 Histograms of valid k-mers need no join: k-mers are counted per unit, then per key.
-Scoring reads joins counts back; a key of very many reads is split by Spark's skew join,
-since counts are written as a table first.
+Scoring reads against the counts of reads (Counted) makes no table of counts and no row a
+window: windows travel as runs (functions/runs) to the bucket of their k-mers, are counted
+and answered there, and the depths go back to their batch of reads.
+Scoring against a table of counts joins it; a key of very many reads is split by Spark's
+skew join, since counts are written as a table first.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenstrand.config import Config
-from evenstrand.functions import kmers
+from evenstrand.functions import kmers, runs
 from evenstrand.ship import ship
 
-#: Bytes of bases worked on at once.
-CHUNK = 1 << 20
+#: Bytes of bases worked on at once, and of a batch whose windows travel as runs.
+CHUNK, BATCH = 1 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -39,17 +45,39 @@ class Reads:
     quals: str | None = None
 
 
+@dataclass(frozen=True)
+class Counted:
+    """The k-mer counts of reads under c, to score reads against; made anew where they are used, never stored."""
+
+    reads: Reads
+    c: Config
+
+    def table(self) -> DataFrame:
+        return count_kmers(self.reads, self.c)
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = [(t or "").encode() for t in column.to_pylist()]
-    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    """The UTF-8 bytes of texts end to end, null as empty, and each text's offset."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, ends, data = column.buffers()
+    offsets = np.frombuffer(ends, np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    rows = max(1, int(CHUNK / max(1, batch.nbytes / max(1, batch.num_rows))))
+def _slices(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    rows = max(1, int(chunk / max(1, batch.nbytes / max(1, batch.num_rows))))
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
 
 
+def _passes(q: pa.Array, data: np.ndarray, offsets: np.ndarray, read: np.ndarray, place: np.ndarray, k: int, min_quality: int, min_prob: float) -> np.ndarray:
+    """Which windows pass minq and minprob, given their reads' qualities q; a read without any has quality 50."""
+    filled = pa.array([x if x is not None else "I" * n for x, n in zip(q.to_pylist(), np.diff(offsets).tolist(), strict=True)], pa.string())
+    qual, _ = _flat(filled)
+    has = np.array(q.is_valid().to_pylist(), bool)[read]
+    return np.where(has, kmers.quality_filter(qual, data, offsets, read, place, k, min_quality, min_prob), min_quality <= 50)
+
+
 def windows(reads: Reads, c: Config, filtered: bool) -> DataFrame:
     """A row per window: the read's key columns, unit, pos, kmer.
 
@@ -71,12 +99,7 @@ def windows(reads: Reads, c: Config, filtered: bool) -> DataFrame:
                 if filtered:
                     keep = key >= 0
                     if quals:
-                        q = batch.column("__q")
-                        filled = pa.array([x if x is not None else "I" * n for x, n in zip(q.to_pylist(), np.diff(offsets).tolist(), strict=True)])
-                        qual, _ = _flat(filled)
-                        has = np.array(q.is_valid().to_pylist(), bool)[read] if batch.num_rows else keep
-                        passes = kmers.quality_filter(qual, data, offsets, read, place, k, min_quality, min_prob)
-                        keep &= np.where(has, passes, min_quality <= 50)
+                        keep &= _passes(batch.column("__q"), data, offsets, read, place, k, min_quality, min_prob)
                 read, place, key = read[keep], place[keep], key[keep]
                 who = pa.array(read)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n).take(who) for n in names), pa.array(place.astype(np.int32)), pa.array(key, mask=key < 0)], [*names, "pos", "kmer"])
@@ -156,8 +179,142 @@ def window_depths(reads: Reads, counts: DataFrame, c: Config) -> DataFrame:
     return joined.select(*reads.key, "pos", F.when(F.col("kmer").isNull(), -1).otherwise(F.coalesce("depth", F.lit(0))).cast("long").alias("depth"))
 
 
-def coverage(reads: Reads, counts: DataFrame, c: Config) -> DataFrame:
-    """Read key (of one row each), length and cov, the depths of its windows in order; reads without windows have an empty cov.
+def coverage(reads: Reads, counts: DataFrame | Counted, c: Config, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Read key (of one row each), length, cov (the depths of its windows in order; empty without windows), and the columns to carry."""
+    if isinstance(counts, Counted):
+        out = _answered(reads, counts, carry)
+    else:
+        out = _joined(reads, counts, c)
+        out = out.join(reads.df.select(*reads.key, *carry), list(reads.key)) if carry else out
+    return out.withColumn("cov", fix_spikes(F.col("cov"))) if c.fix_spikes else out
+
+
+def _answered(reads: Reads, counts: Counted, carry: tuple[str, ...]) -> DataFrame:
+    """coverage by runs: reads are cut into runs, buckets of runs are counted and answered, answers are put back by batch of reads."""
+    spark, c = reads.df.sparkSession, counts.c
+    names = [*reads.key, *carry]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(4 * n, runs.NONE - 1)
+    k, least = c.k, 2 if c.build_passes > 1 else 0  # see rebuild
+    if counts.reads.df is reads.df and counts.reads.bases == reads.bases:
+        cut = _runs(counts.reads, c, buckets, names, True)
+    else:
+        cut = _runs(reads, c, buckets, names, False).unionByName(_runs(counts.reads, c, buckets, None, True))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "bucket"):
+            if rows.column("bucket")[0].as_py() < 0:
+                yield rows
+                continue
+            found = runs.answered(list(zip(rows.column("n").to_pylist(), rows.column("pack").to_pylist(), strict=True)), k, least)
+            rows = rows.set_column(rows.schema.get_field_index("pack"), "pack", pa.array(found, pa.binary()))
+            yield rows.filter(pc.greater_equal(rows.column("batch"), 0))
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "batch"):  # the head comes first, as its bucket is negative
+            if rows.column("bucket")[0].as_py() >= 0 or pc.count_distinct(rows.column("check")).as_py() > 1:
+                raise ValueError("packs of a batch of reads do not fit: the reads came in another order when a lost stage was run again")
+            head, packs = rows.slice(0, 1), rows.column("pack").to_pylist()
+            many = np.frombuffer(zlib.decompress(head.column("more")[0].as_py()), np.uint8)
+            runs_in = len(many) // 3
+            cov = runs.placed(many[:runs_in], many[runs_in:].view(np.uint16) if runs_in % 2 == 0 else np.frombuffer(many[runs_in:].tobytes(), np.uint16), packs[1:])
+            with pa.ipc.open_stream(packs[0]) as stream:
+                (own,) = list(stream)
+            offsets = np.concatenate([[0], np.cumsum(own.column("__w").to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(own.column(x) for x in names), own.column("__n"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cov))], [*names, "length", "cov"])
+
+    answers = cut.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, cut.schema)
+    schema = T.StructType([*(reads.df.schema[x] for x in names), T.StructField("length", T.IntegerType()), T.StructField("cov", T.ArrayType(T.LongType()))])
+    return answers.repartition(n, "batch").sortWithinPartitions("batch", "bucket").mapInArrow(back, schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by a column, as one batch per value."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(name).to_numpy()
+        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column(name)[0].as_py() != value[a]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch], unit: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that hold whole units, of rows sorted by unit, with a number per unit."""
+
+    def numbers(rows: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        for name in unit:
+            a, b = rows.column(name).slice(1), rows.column(name).slice(0, rows.num_rows - 1)
+            differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
+        return np.cumsum(new)
+
+    held = None
+    for whole in batches:
+        for batch in _slices(whole, BATCH):
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            number = numbers(rows)
+            last = int(np.searchsorted(number, number[-1]))
+            if last:
+                yield rows.slice(0, last), number[:last]
+            held = rows.slice(last)
+    if held is not None:
+        yield held, numbers(held)
+
+
+def _runs(reads: Reads, c: Config, buckets: int, names: list[str] | None, counts: bool) -> DataFrame:
+    """bucket, batch, check, n, pack, more: the packs of each batch of reads; if named columns are kept, also a head row of negative bucket.
+
+    A head's pack holds the named columns, length and number of windows of its reads, its
+    `more` the runs' sizes and buckets.  Packs without a head have batch -1.  check is the
+    same in all rows of a batch.  counts: whether these reads' windows count.
+    """
+    ship(reads.df.sparkSession)
+    k, rdk, min_quality, min_prob = c.k, c.rdk, c.min_quality, c.min_prob
+    quals = reads.quals if counts else None
+    units = list(reads.unit) if counts and rdk and not is_row_unit(reads) else []
+    kept = list(dict.fromkeys([*(names or []), *units]))
+    source = reads.df.select(*kept, F.col(reads.bases).alias("__b"), F.length(reads.bases).alias("__n"), *([F.col(quals).alias("__q")] if quals else []))
+    if units:
+        source = source.repartition(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), *units).sortWithinPartitions(*units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        each = _whole_units(batches, units) if units else ((b, np.arange(b.num_rows)) for whole in batches for b in _slices(whole, BATCH))
+        for number, (batch, unit) in enumerate(each):
+            data, offsets = _flat(batch.column("__b"))
+            read, place, key = kmers.batch_keys(data, offsets, k)
+            mark = key >= 0
+            if not counts:
+                mark = np.zeros(len(key), bool)
+            elif quals and len(key):
+                mark &= _passes(batch.column("__q"), data, offsets, read, place, k, min_quality, min_prob)
+            if counts and rdk:
+                mark[mark] = runs.first_in_unit(unit[read[mark]], key[mark])
+            many, of, packs = runs.split(data, read, place, offsets, key >= 0, mark, k, buckets)
+            rows = [(bucket, -1, 0, n, pack, None) for bucket, (n, pack) in packs.items()]
+            if names is not None:
+                head = pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), batch.column("__n"), pa.array(np.bincount(read, minlength=batch.num_rows).astype(np.int32))], [*names, "__n", "__w"])
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(head)
+                pack, more = out.getvalue().to_pybytes(), zlib.compress(many.tobytes() + of.tobytes(), 1)
+                who, check = task << 32 | number, zlib.crc32(more, zlib.crc32(pack))
+                rows = [(-1 - who % buckets, who, check, 0, pack, more), *((bucket, who, check, n, p, None) for bucket, _, _, n, p, _ in rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "check", "n", "pack", "more"])
+
+    return source.mapInArrow(run, "bucket int, batch long, check long, n int, pack binary, more binary")
+
+
+def _joined(reads: Reads, counts: DataFrame, c: Config) -> DataFrame:
+    """coverage by a table of counts.
 
     Each read sends a head row along with its windows, so that the rows, once they have met
     the counts, are packed in one pass over sorted partitions and not joined to the reads again.
@@ -192,8 +349,7 @@ def coverage(reads: Reads, counts: DataFrame, c: Config) -> DataFrame:
         if held:
             yield from packed(held)
 
-    out = dealt.mapInArrow(run, T.StructType([*(dealt.schema[n] for n in names), T.StructField("length", T.IntegerType()), T.StructField("cov", T.ArrayType(T.LongType()))]))
-    return out.withColumn("cov", fix_spikes(F.col("cov"))) if c.fix_spikes else out
+    return dealt.mapInArrow(run, T.StructType([*(dealt.schema[n] for n in names), T.StructField("length", T.IntegerType()), T.StructField("cov", T.ArrayType(T.LongType()))]))
 
 
 def _marked_windows(reads: Reads, c: Config) -> DataFrame:

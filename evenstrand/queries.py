@@ -44,8 +44,7 @@ def mates(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str, c: Config) -> DataFrame:
     r = one_unit(reads(spark, sf))
-    counts = plan.save(counting.count_kmers(r, c), "counts")
-    return decide.score(counting.coverage(r, counts, c), c)
+    return decide.score(counting.coverage(r, counting.Counted(r, c), c), c)
 
 
 # k-mers and histograms
