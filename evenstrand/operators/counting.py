@@ -194,7 +194,7 @@ def _answered(reads: Reads, counts: Counted, carry: tuple[str, ...]) -> DataFram
     spark, c = reads.df.sparkSession, counts.c
     names = [*reads.key, *carry]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(4 * n, runs.NONE - 1)
+    buckets = min(12 * n, runs.NONE - 1)
     k, least = c.k, 2 if c.build_passes > 1 else 0  # see rebuild
     if counts.reads.df is reads.df and counts.reads.bases == reads.bases:
         cut = _runs(counts.reads, c, buckets, names, True)

@@ -19,7 +19,9 @@ KEY = ("doc_id", "frag")
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    return docs.repartition(plan_partitions(spark), "doc_id")  # the source is one file
+    if len(docs.inputFiles()) >= 2 * spark.sparkContext.defaultParallelism:
+        return docs
+    return docs.repartition(plan_partitions(spark), "doc_id")  # a file may be one row group, which one task reads
 
 
 def plan_partitions(spark: SparkSession) -> int:
@@ -174,8 +176,7 @@ def depth_bins(spark, sf):
 def _pairs(spark, sf, c):
     r = plan.as_reads(mates(spark, sf))
     plain = counting.Reads(r.df, r.unit, r.key)
-    counts = plan.save(counting.count_kmers(plain, c), "counts")
-    return decide.decide_pairs(decide.score(counting.coverage(plain, counts, c), c), c, "pair_id")
+    return decide.decide_pairs(decide.score(counting.coverage(plain, counting.Counted(plain, c), c), c), c, "pair_id")
 
 
 def keep_pairs(spark, sf):
