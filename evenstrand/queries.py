@@ -198,7 +198,7 @@ def require_either(spark, sf):
 def fix_spikes(spark, sf):
     c = LOOSE.replace(fix_spikes=True)
     r = one_unit(reads(spark, sf))
-    cov = counting.coverage(r, plan.save(counting.count_kmers(r, c), "counts"), c)
+    cov = counting.coverage(r, counting.Counted(r, c), c)
     return cov.select(*KEY, F.aggregate("cov", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("cov").alias("top"))
 
 
