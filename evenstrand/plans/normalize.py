@@ -15,12 +15,14 @@ from evenstrand.plans import peaks
 from evenstrand.sources import reads as source
 from evenstrand.sources import sinks
 
+#: Spark then removes a query's shuffle files when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 KEY = ["file_idx", "pair_id", "mate"]
 PAIR = ["file_idx", "pair_id"]
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder of spark.checkpoint.dir and read it back, to cut lineage between passes."""
+    """Write df to the shared folder of spark.checkpoint.dir and read it back, to cut lineage between passes; its shuffle files go."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -29,7 +31,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="evenstrand-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/evenstrand/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

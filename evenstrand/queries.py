@@ -206,12 +206,12 @@ def multipass_2(spark, sf):
     """Reads kept by a first pass are counted again and judged by a second."""
     c = LOOSE
     r = reads(spark, sf)
-    for _ in range(2):
+    for last in (False, True):
         unit = one_unit(r)
-        counts = plan.save(counting.count_kmers(unit, c), "counts")
-        judged = decide.decide_single(decide.score(counting.coverage(unit, counts, c), c), c, *KEY).where("keep").select(*KEY)
-        r = plan.save(r.join(judged, list(KEY), "left_semi"), "kept")
-    return r.select(*KEY)
+        cov = counting.coverage(unit, counting.Counted(unit, c), c, () if last else ("bases",))
+        kept = decide.decide_single(decide.score(cov, c), c, *KEY).where("keep")
+        r = kept.select(*KEY) if last else plan.save(kept.select(*KEY, "bases"), "kept")
+    return r
 
 
 def normalized_pairs(spark, sf):

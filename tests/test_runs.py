@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from evenstrand import queries
 from evenstrand.config import Config
 from evenstrand.functions import kmers, runs
-from evenstrand.operators import counting
+from evenstrand.operators import counting, ecc
+from evenstrand.plans import normalize as plan
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "p long, mate int, bases string, quals string"
@@ -72,8 +74,23 @@ def test_large_buckets_go_in_portions(monkeypatch):
     assert [list(runs.answered([p] * 5, 15)) for p in packs.values()] == whole
 
 
-@pytest.mark.parametrize("name", ["read_depth_hist", "keep_pairs", "fix_spikes"])
+@pytest.mark.parametrize("name", ["read_depth_hist", "keep_pairs", "fix_spikes", "multipass_2", "mark_errors"])
 def test_scores_join_no_windows(spark, name):
     """A row a window, joined with a table of all counts, took more disk than 4 times the input."""
     plan = entry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_correction_is_the_same_by_runs_and_by_table(spark):
+    rng = np.random.default_rng(8)
+    good = "".join(rng.choice(list("ACGT"), 70))
+    bad = [good[:i] + ("A" if good[i] != "A" else "C") + good[i + 1 :] for i in (5, 30, 64)]
+    rows = [(0, i, 1, b, "I" * len(b)) for i, b in enumerate([good] * 6 + bad + [bad[0].lower(), good[:20] + "N" + good[21:], ""])]
+    df = spark.createDataFrame(rows, "file_idx int, pair_id long, mate int, bases string, quals string")
+    counted = counting.Counted(counting.Reads(df, tuple(plan.KEY), tuple(plan.KEY)), queries.ECC)
+    saved = []
+    for counts in (counted, plan.save(counted.table(), "counts")):
+        saved.append(sorted(tuple(x) for x in ecc.correct(df, plan.KEY, counts, queries.ECC, plan.save).select("pair_id", "bases", "n_errors", "uncorrected").collect()))
+        saved.append(sorted(tuple(x) for x in ecc.mark(df, plan.KEY, counts, queries.ECC).select("pair_id", "bases", "n_errors", "quals").collect()))
+    assert saved[:2] == saved[2:]
+    assert [x[1] for x in saved[0][6:9]] == [good] * 3
