@@ -42,28 +42,38 @@ def suspects(cov: Column, c: Config) -> Column:
     return F.when(n >= 2, F.array_distinct(both)).otherwise(none)
 
 
-def _covered(reads: DataFrame, key: list[str], counts: DataFrame, c: Config) -> DataFrame:
-    cov = counting.coverage(counting.Reads(reads, tuple(key), tuple(key)), counts, c.replace(fix_spikes=False)).select(*key, "cov")
-    return reads.join(cov, key)
+def _covered(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config) -> DataFrame:
+    others = tuple(x for x in reads.columns if x not in key)
+    return counting.coverage(counting.Reads(reads, tuple(key), tuple(key)), counts, c.replace(fix_spikes=False), others).select(*key, *others, "cov")
 
 
-def correct(reads: DataFrame, key: list[str], counts: DataFrame, c: Config, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def _deep(tries: DataFrame, counts: DataFrame | counting.Counted, c: Config) -> DataFrame:
+    """tries (window, a text of k bases, and other columns) whose k-mer is of high depth or more, with that depth."""
+    if isinstance(counts, counting.Counted):
+        others = tuple(x for x in tries.columns if x != "window")
+        met = counting.coverage(counting.Reads(tries, others, others, bases="window"), counts, c.replace(fix_spikes=False))
+        return met.select(*others, F.get("cov", F.lit(0)).alias("depth")).where(F.col("depth") >= c.ecc_high)
+    return tries.withColumn("kmer", kmers.key("window", F.lit(1), c.k)).join(counts, "kmer").where(F.col("depth") >= c.ecc_high)
+
+
+def correct(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """reads with corrected bases, n_errors (bases changed) and uncorrected. save writes a table between rounds."""
     state = reads.withColumn("n_errors", F.lit(0))
     for _ in range(c.ecc_limit):
-        open_ = _covered(state.select(*key, "bases", "quals"), key, counts, c)
+        covered = _covered(state, key, counts, c).withColumn("sites", suspects(F.col("cov"), c)).drop("cov")
+        state = save(covered, "ecc")  # with the sites, for the tries and for what they change
+        open_ = state.select(*key, "bases", "quals", "sites").where(F.size("sites") > 0)
         q = F.ascii(F.substring(F.col("quals"), F.col("s.place") + 1, F.lit(1))) - 33
-        sites = open_.select(*key, "bases", "quals", F.explode(suspects(F.col("cov"), c)).alias("s")).where(F.coalesce(q, F.lit(0)) <= c.ecc_max_quality)
+        sites = open_.select(*key, "bases", "quals", F.explode("sites").alias("s")).where(F.coalesce(q, F.lit(0)) <= c.ecc_max_quality)
         tries = sites.select(*key, "s", F.explode(F.array(*(F.lit(x) for x in "ACGT"))).alias("base"), "bases").where(F.upper(F.substring(F.col("bases"), F.col("s.place") + 1, F.lit(1))) != F.col("base"))
         fixed = F.concat(F.expr("substring(bases, 1, s.place)"), "base", F.expr("substring(bases, s.place + 2)"))
-        tries = tries.select(*key, "s", "base", kmers.key(fixed, F.col("s.window") + 1, c.k).alias("kmer"))
-        best = tries.join(counts, "kmer").where(F.col("depth") >= c.ecc_high).groupBy(*key).agg(F.max(F.struct("depth", F.negative("s.place").alias("p"), "base")).alias("x"))
+        tries = tries.select(*key, "s", "base", F.substring(fixed, F.col("s.window") + 1, F.lit(c.k)).alias("window")).where(F.col("window").rlike("^[ACGT]+$"))
+        best = _deep(tries, counts, c).groupBy(*key).agg(F.max(F.struct("depth", F.negative("s.place").alias("p"), "base")).alias("x"))
         best = best.select(*key, F.negative("x.p").alias("place"), F.col("x.base").alias("base"))
-        joined = state.join(best, key, "left")
+        joined = state.drop("sites").join(best, key, "left")
         changed = F.when(F.col("base").isNull(), F.col("bases")).otherwise(F.concat(F.expr("substring(bases, 1, place)"), "base", F.expr("substring(bases, place + 2)")))
         state = save(joined.withColumns({"bases": changed, "n_errors": F.col("n_errors") + F.col("base").isNotNull().cast("int")}).drop("place", "base"), "ecc")
-    left = _covered(state.select(*key, "bases", "quals"), key, counts, c).select(*key, (F.size(suspects(F.col("cov"), c)) > 0).alias("uncorrected"))
-    return state.join(left, key, "left").withColumn("uncorrected", F.coalesce("uncorrected", F.lit(False)))
+    return _covered(state, key, counts, c).withColumn("uncorrected", F.size(suspects(F.col("cov"), c)) > 0).drop("cov")
 
 
 def marked(quals: Column, places: Column, with_one: bool) -> Column:
@@ -73,7 +83,7 @@ def marked(quals: Column, places: Column, with_one: bool) -> Column:
     return F.when(F.length(quals) > 0, F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(quals)), one))).otherwise(quals)
 
 
-def mark(reads: DataFrame, key: list[str], counts: DataFrame, c: Config) -> DataFrame:
+def mark(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config) -> DataFrame:
     """reads with the qualities of all suspect bases lowered, and n_errors; trimmed afterwards if c says so."""
     found = _covered(reads, key, counts, c).withColumn("__s", F.transform(suspects(F.col("cov"), c), lambda x: x["place"])).drop("cov")
     out = found.withColumns({"quals": marked(F.col("quals"), F.col("__s"), c.mark_with_one), "n_errors": F.size(F.array_distinct("__s"))}).drop("__s")
