@@ -7,11 +7,19 @@ have the shape that unaligned reads give.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenstrand.config import Config
 from evenstrand.functions import bases as B
+from evenstrand.ship import ship
+
+#: Reads whose entropy is worked out at once.
+ENTROPY_READS = 4096
 
 
 def _places(reads: DataFrame, *keep: str) -> DataFrame:
@@ -102,22 +110,52 @@ def entropy(reads: DataFrame, c: Config) -> DataFrame:
     counts, divided by the logarithm of the number that fit (or of 4**k if less); reads
     shorter than a window are one window (our formula).  Windows stand side by side.
     """
-    k, w, bins = c.entropy_k, c.entropy_window, c.entropy_bins
-
-    def value(b):
-        n = F.greatest(F.length(b) - k + 1, F.lit(0))
-        found = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(b, i, F.lit(k)))
-        good = found if c.entropy_ns else F.filter(found, lambda x: x.rlike("^[ACGT]+$"))
-        counts = F.transform(F.array_distinct(good), lambda x: F.size(F.filter(good, lambda y: x == y)))
-        total = F.size(good)
-        most = F.log(F.least(total, F.lit(4**k)).cast("double"))
-        h = F.aggregate(counts, F.lit(0.0), lambda a, x: a - (x / total) * F.log(x / total))
-        return F.when((n > 1) & (total > 1), h / most).otherwise(F.lit(0.0))
-
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"length(bases) div {w} - 1"))), lambda i: F.substring(F.col("bases"), i * w + 1, F.lit(w)))
-    each = reads.where(F.length("bases") > 0).select(F.transform(pieces, value).alias("h"))
-    mean = F.aggregate("h", F.lit(0.0), lambda a, x: a + x) / F.size("h")
-    return each.groupBy(F.least(F.floor(mean * bins + 1e-9), F.lit(bins)).cast("long").alias("bin")).agg(F.count("*").alias("count")).select((F.col("bin") / bins).alias("value"), "count")
+    ship(reads.sparkSession)
+    k, w, bins, with_ns = c.entropy_k, c.entropy_window, c.entropy_bins, c.entropy_ns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ENTROPY_READS):
+                yield pa.RecordBatch.from_arrays([pa.array(mean_entropy(batch.column(0).slice(i, ENTROPY_READS).to_pylist(), k, w, with_ns))], ["mean"])
+
+    each = reads.where(F.length("bases") > 0).select("bases").mapInArrow(run, "mean double")
+    return each.groupBy(F.least(F.floor(F.col("mean") * bins + 1e-9), F.lit(bins)).cast("long").alias("bin")).agg(F.count("*").alias("count")).select((F.col("bin") / bins).alias("value"), "count")
+
+
+def mean_entropy(texts: list[str], k: int, w: int, with_ns: bool) -> np.ndarray:
+    """Of each text, none empty, the mean entropy of its windows; see entropy."""
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    length = np.array([len(t) for t in texts], np.int64)
+    pieces = np.maximum(length // w, 1)
+    text = np.repeat(np.arange(len(texts)), pieces)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = (np.cumsum(length) - length)[text] + number * w
+    many = np.maximum(np.minimum(length[text], w) - k + 1, 0)
+    piece = np.repeat(np.arange(len(text)), many)
+    at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(len(piece))
+    if not with_ns:
+        bad = np.concatenate([[0], np.cumsum(~np.isin(letters, np.frombuffer("ACGT".encode("utf-32-le"), np.uint32)))])
+        good = bad[np.minimum(at + k, len(letters))] == bad[at]
+        piece, at = piece[good], at[good]
+    known, letter = np.unique(letters, return_inverse=True)
+    kmer, kinds = np.zeros(len(at), np.int64), 1
+    for i in range(k):
+        if kinds * len(known) >= 1 << 31:
+            some, kmer = np.unique(kmer, return_inverse=True)
+            kinds = len(some)
+        kmer = kmer * len(known) + letter[at + i]
+        kinds *= len(known)
+    if kinds * max(1, len(text)) >= 1 << 62:
+        some, kmer = np.unique(kmer, return_inverse=True)
+        kinds = len(some)
+    both = np.sort(piece * kinds + kmer)
+    head = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    of = both[head] // kinds
+    total = np.bincount(piece, minlength=len(text))
+    share = np.diff(np.append(head, len(both))) / total[of]
+    h = np.bincount(of, -share * np.log(share), len(text))
+    h = np.where((many > 1) & (total > 1), h / np.log(np.clip(total, 2, 4 ** min(k, 30))), 0.0)
+    return np.bincount(text, h, len(texts)) / pieces
 
 
 def identity(reads: DataFrame) -> DataFrame:
