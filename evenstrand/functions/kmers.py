@@ -44,23 +44,30 @@ def key(bases, start, k: int) -> Column:
     b = F.col(bases) if isinstance(bases, str) else bases
     size, words = layout(k)
     window = F.substring(b, start + (k - size * words), F.lit(size * words))
-    larger = F.greatest(window, reverse_complement(window))
-    if words == 1:
-        out = code(larger)
-    else:
-        out = None
-        for w in range(words):
-            part = code(F.substring(larger, F.lit(w * size + 1), F.lit(size)))
-            out = part if out is None else F.shiftleft(out, 25).bitwiseOR(F.shiftrightunsigned(out, 39)).bitwiseXOR(part)
-        out = out.bitwiseAND(F.lit(2**63 - 1))
+    out = _joined(F.translate(F.greatest(window, reverse_complement(window)), "ACGT", "0123"), size, words)
     return F.when(F.substring(b, start, F.lit(k)).rlike("^[ACGT]+$"), out)
 
 
+def _joined(digits: Column, size: int, words: int) -> Column:
+    """The key of a k-mer in base 4."""
+    out = None
+    for w in range(words):
+        part = F.conv(F.substring(digits, F.lit(w * size + 1), F.lit(size)) if words > 1 else digits, 4, 10).cast("long")
+        out = part if out is None else F.shiftleft(out, 25).bitwiseOR(F.shiftrightunsigned(out, 39)).bitwiseXOR(part)
+    return out if words == 1 else out.bitwiseAND(F.lit(2**63 - 1))
+
+
 def windows(bases, k: int) -> Column:
     """The keys of all windows of a read in order, null where one is invalid."""
     b = to_acgt(bases)
     n = F.length(b) - k + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: key(b, i, k))).otherwise(F.array().cast("array<long>"))
+    size, words = layout(k)
+    # both strands of a clean read are put into base 4 once, not window by window
+    strands = F.struct(F.translate(b, "ACGT", "0123").alias("f"), F.translate(F.reverse(b), "ACGT", "3210").alias("r"), n.alias("n"))
+    larger = lambda s, i: F.greatest(F.substring(s["f"], i + (k - size * words), F.lit(size * words)), F.substring(s["r"], s["n"] + 1 - i, F.lit(size * words)))
+    clean = F.transform(F.array(strands), lambda s: F.transform(F.sequence(F.lit(1), s["n"]), lambda i: _joined(larger(s, i), size, words)))[0]
+    each = F.transform(F.sequence(F.lit(1), n), lambda i: key(b, i, k))
+    return F.when((n >= 1) & b.rlike("^[ACGT]+$"), clean).when(n >= 1, each).otherwise(F.array().cast("array<long>"))
 
 
 # kernels

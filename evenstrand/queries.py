@@ -100,8 +100,9 @@ def long_kmer_hash(spark, sf):
 
 
 def long_kmer_hash_expression(spark, sf):
-    w = reads(spark, sf).select(*KEY, F.explode(kmers.windows("bases", 40)).alias("kmer"))
-    return w.groupBy(*KEY).agg(F.count("kmer").alias("n"), F.min("kmer").alias("least"), F.max("kmer").alias("most"))
+    w = reads(spark, sf).select(*KEY, kmers.windows("bases", 40).alias("w")).where(F.size("w") > 0)
+    own = w.select(*KEY, F.size(F.array_compact("w")).alias("n"), F.array_min("w").alias("least"), F.array_max("w").alias("most"))
+    return own.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def qual_prob_filter(spark, sf):

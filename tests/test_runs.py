@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from evenstrand import queries
 from evenstrand.config import Config
 from evenstrand.functions import kmers, runs
-from evenstrand.operators import counting, ecc
+from evenstrand.operators import counting, ecc, hists
 from evenstrand.plans import normalize as plan
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,28 @@ def test_correction_is_the_same_by_runs_and_by_table(spark):
         saved.append(sorted(tuple(x) for x in ecc.mark(df, plan.KEY, counts, queries.ECC).select("pair_id", "bases", "n_errors", "quals").collect()))
     assert saved[:2] == saved[2:]
     assert [x[1] for x in saved[0][6:9]] == [good] * 3
+
+
+@pytest.mark.parametrize("k,w,with_ns", [(5, 50, False), (5, 50, True), (3, 20, False), (40, 60, True), (1, 4, False), (9, 5, False)])
+def test_entropy_of_odd_reads(k, w, with_ns):
+    """Every window's k-mers were compared with each other, which took too long."""
+
+    def value(t):
+        found = [t[i : i + k] for i in range(len(t) - k + 1)]
+        good = Counter(x for x in found if with_ns or set(x) <= set("ACGT"))
+        n = sum(good.values())
+        return -sum(c / n * np.log(c / n) for c in good.values()) / np.log(min(n, 4**k)) if len(found) > 1 and n > 1 else 0.0
+
+    texts = [t for _, _, t, _ in odd_reads() if t]
+    want = [np.mean([value(t[i * w : i * w + w]) for i in range(max(1, len(t) // w))]) for t in texts]
+    assert np.allclose(hists.mean_entropy(texts, k, w, with_ns), want, atol=1e-12)
+
+
+def test_window_expression_of_odd_reads(spark):
+    texts = [t for _, _, t, _ in odd_reads() if t and "é" not in t]
+    df = spark.createDataFrame([(t,) for t in texts], "bases string")
+    for k in (5, 31, 40):
+        got = [r[0] for r in df.select(kmers.windows("bases", k)).collect()]
+        assert got == [[None if x < 0 else x for x in keys(t, k)] for t in texts]
+    plan = entry.QUERIES["long_kmer_hash_expression"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1  # cutting texts to reads; windows are not rows
