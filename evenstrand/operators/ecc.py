@@ -39,11 +39,15 @@ def suspects(cov: Column, c: Config) -> Column:
     one = F.transform(left, lambda i: F.struct((i + c.k - 1).cast("int").alias("place"), i.cast("int").alias("window")))
     two = F.transform(right, lambda i: F.struct((i - 1).cast("int").alias("place"), (i - 1).cast("int").alias("window")))
     both = F.concat(one if c.correct_left else none, two if c.correct_right else none)
-    return F.when(n >= 2, F.array_distinct(both)).otherwise(none)
+    # what any drop needs, without a walk over the steps
+    may = (n >= 2) & (F.array_max(cov) >= min(c.ecc_high, c.ecc_ratio))
+    if c.ecc_high > c.ecc_low and c.ecc_ratio > 1:
+        may &= F.array_max(cov) > F.array_min(cov)
+    return F.when(may, F.array_distinct(both)).otherwise(none)
 
 
-def _covered(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config) -> DataFrame:
-    others = tuple(x for x in reads.columns if x not in key)
+def _covered(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config, keep: tuple[str, ...] | None = None) -> DataFrame:
+    others = tuple(x for x in reads.columns if x not in key) if keep is None else keep
     return counting.coverage(counting.Reads(reads, tuple(key), tuple(key)), counts, c.replace(fix_spikes=False), others).select(*key, *others, "cov")
 
 
@@ -80,12 +84,12 @@ def marked(quals: Column, places: Column, with_one: bool) -> Column:
     """Qualities lowered at places: to 1, or to half less 3, at least 2."""
     lower = lambda q: F.lit(1) if with_one else F.greatest(F.lit(2), F.floor(q / 2) - 3)
     one = lambda i: F.when(F.array_contains(places, i - 1), F.char((lower(F.ascii(F.substring(quals, i, F.lit(1))) - 33) + 33).cast("long"))).otherwise(F.substring(quals, i, F.lit(1)))
-    return F.when(F.length(quals) > 0, F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(quals)), one))).otherwise(quals)
+    return F.when((F.length(quals) > 0) & (F.size(places) > 0), F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(quals)), one))).otherwise(quals)
 
 
-def mark(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config) -> DataFrame:
-    """reads with the qualities of all suspect bases lowered, and n_errors; trimmed afterwards if c says so."""
-    found = _covered(reads, key, counts, c).withColumn("__s", F.transform(suspects(F.col("cov"), c), lambda x: x["place"])).drop("cov")
+def mark(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """reads (of other columns than the key, those to keep, quals among them) with the qualities of all suspect bases lowered, and n_errors; trimmed afterwards if c says so."""
+    found = _covered(reads, key, counts, c, keep).withColumn("__s", F.transform(suspects(F.col("cov"), c), lambda x: x["place"])).drop("cov")
     out = found.withColumns({"quals": marked(F.col("quals"), F.col("__s"), c.mark_with_one), "n_errors": F.size(F.array_distinct("__s"))}).drop("__s")
     return trim.trim(out, c) if c.trim_after_marking else out
 

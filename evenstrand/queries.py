@@ -444,7 +444,7 @@ def ecc_correct(spark, sf):
 
 def mark_errors(spark, sf):
     m, counts = _ecc(spark, sf, "bases", "quals")
-    return ecc.mark(m, plan.KEY, counts, ECC).select("pair_id", "mate", "n_errors", F.md5(F.col("quals").cast("binary")).alias("quals"))
+    return ecc.mark(m, plan.KEY, counts, ECC, ("quals",)).select("pair_id", "mate", "n_errors", F.md5(F.col("quals").cast("binary")).alias("quals"))
 
 
 def overlap_repair(spark, sf):
