@@ -78,11 +78,12 @@ def _passes(q: pa.Array, data: np.ndarray, offsets: np.ndarray, read: np.ndarray
     return np.where(has, kmers.quality_filter(qual, data, offsets, read, place, k, min_quality, min_prob), min_quality <= 50)
 
 
-def windows(reads: Reads, c: Config, filtered: bool) -> DataFrame:
+def windows(reads: Reads, c: Config, filtered: bool, once: bool = False, buckets: bool = False) -> DataFrame:
     """A row per window: the read's key columns, unit, pos, kmer.
 
     Filtered: only valid windows whose qualities pass minq and minprob.  Otherwise every
-    window comes, with kmer null where a base is not ACGTU.
+    window comes, with kmer null where a base is not ACGTU.  Once: of filtered windows only
+    the first of a row of reads with its k-mer.  Buckets: with that of the window's minimizer.
     """
     ship(reads.df.sparkSession)
     names = list(dict.fromkeys([*reads.unit, *reads.key]))
@@ -100,12 +101,16 @@ def windows(reads: Reads, c: Config, filtered: bool) -> DataFrame:
                     keep = key >= 0
                     if quals:
                         keep &= _passes(batch.column("__q"), data, offsets, read, place, k, min_quality, min_prob)
+                    if once:
+                        keep[keep] = runs.first_in_unit(read[keep], key[keep])
                 read, place, key = read[keep], place[keep], key[keep]
                 who = pa.array(read)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n).take(who) for n in names), pa.array(place.astype(np.int32)), pa.array(key, mask=key < 0)], [*names, "pos", "kmer"])
+                more = [pa.array((runs.buckets_of(data, k, runs.NONE)[offsets[:-1][read] + place] if len(read) else np.zeros(0)).astype(np.int32))] if buckets else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(n).take(who) for n in names), pa.array(place.astype(np.int32)), pa.array(key, mask=key < 0), *more], [x.name for x in schema.fields])
 
     fields = [source.schema[n] for n in names]
-    return source.mapInArrow(run, T.StructType([*fields, T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.LongType())]))
+    schema = T.StructType([*fields, T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.LongType()), *([T.StructField("bucket", T.IntegerType())] if buckets else [])])
+    return source.mapInArrow(run, schema)
 
 
 def unit_counts(reads: Reads, c: Config) -> DataFrame:

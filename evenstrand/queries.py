@@ -224,8 +224,7 @@ def normalized_pairs(spark, sf):
 def count_up(spark, sf):
     c = LOOSE
     r = one_unit(reads(spark, sf))
-    counts = plan.save(counting.count_kmers(r, c), "counts")
-    return countup.count_up(r, counts, c, plan.save).select(*KEY, "hopeless", "keep")
+    return countup.count_up(r, counting.Counted(r, c), c, plan.save).select(*KEY, "hopeless", "keep")
 
 
 def peak_table(spark, sf):

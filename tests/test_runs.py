@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from evenstrand import queries
 from evenstrand.config import Config
 from evenstrand.functions import kmers, runs
-from evenstrand.operators import counting, ecc, hists
+from evenstrand.operators import countup, counting, ecc, hists
 from evenstrand.plans import normalize as plan
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +119,39 @@ def test_window_expression_of_odd_reads(spark):
         assert got == [[None if x < 0 else x for x in keys(t, k)] for t in texts]
     plan = entry.QUERIES["long_kmer_hash_expression"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate") == 1  # cutting texts to reads; windows are not rows
+
+
+@pytest.mark.parametrize("target,percentile,quals,tabled", [(2, 0.5, False, False), (1, 0.9, False, False), (2, 0.5, True, True), (3, 0.0, False, True)])
+def test_count_up_in_order(spark, target, percentile, quals, tabled):
+    """One read after another, in plain Python; copies, overlaps, repeats within a read, N, qualities, no text."""
+    rows = [(i, 1, t, q) for i, (_, _, t, q) in enumerate(odd_reads() * 3)]
+    c = Config(k=21, target=target, percentile=percentile, min_quality=5 if quals else 0, min_prob=0.0, min_kmers=0, min_depth=1, min_length=0, high_thresh=10**6, low_thresh=4)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    r = counting.Reads(df, ("p", "mate"), ("p", "mate"), quals="quals" if quals else None)
+    counts = plan.save(counting.count_kmers(r, c), "counts") if tabled else counting.Counted(r, c)
+    got = {x.p: x.keep for x in countup.count_up(r, counts, c, plan.save).where("NOT hopeless").collect()}
+    cov = expected(rows, c, lambda x: x[:2], quals)
+    rare = {k[0]: sum(0 <= x <= c.low_thresh for x in v) for k, v in cov.items()}
+    seen, want = Counter(), {}
+    for p, _, t, q in sorted((r for r in rows if r[0] in got), key=lambda r: (rare[r[0]], -len(r[2] or ""), r[0])):
+        q = q if quals else None
+        held = {x for i, x in enumerate(keys(t, 21)) if x >= 0 and (q is None or all(ord(y) - 33 >= c.min_quality for y in q[i : i + 21]))}
+        depths = sorted((seen[x] for x in held), reverse=True)
+        want[p] = bool(held) and depths[min(len(held) - 1, int(len(held) * percentile))] < target
+        seen.update(held if want[p] else ())
+    assert len(got) >= 100 and got == want and {True, False} == set(want.values())
+
+
+def test_count_up_deals_windows_once(spark):
+    """A row a window went into every round, which took too long: rounds read classes of k-mers instead."""
+    df = spark.createDataFrame([(i, 1, t, q) for i, (_, _, t, q) in enumerate(odd_reads()[:1] * 8)], SCHEMA)
+    r, sizes = counting.Reads(df, ("p", "mate"), ("p", "mate")), {}
+
+    def save(df, name):
+        out = plan.save(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    c = Config(k=21, target=2, min_quality=0, min_prob=0.0, min_kmers=0, high_thresh=10**6)
+    kept = countup.count_up(r, counting.Counted(r, c), c, save).where("keep").count()
+    assert kept == 2 and sizes["seen"][0] == 8 and sizes["texts"] == [1]
