@@ -168,10 +168,11 @@ def verified(pairs: DataFrame, about: DataFrame, texts: DataFrame, shingle: int,
 
 
 def fits(similarity: Fraction) -> Column:
-    """Whether sets x and y may be similar with a shingle at these places as the first they share: all before it, in both, is not shared."""
+    """Whether sets x and y may be similar with a shingle at these places as the first they share: all before it, in both, is not shared, nor what one has more of behind it."""
     p, q = similarity.numerator, similarity.denominator
     sizes = F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p
-    return sizes & ((F.col("x.place") + F.col("y.place")) * (p + q) <= (F.col("x.n") + F.col("y.n")) * (q - p))
+    rest = F.abs((F.col("x.n") - F.col("x.place")) - (F.col("y.n") - F.col("y.place")))
+    return sizes & ((F.col("x.place") + F.col("y.place") + rest) * (p + q) <= (F.col("x.n") + F.col("y.n")) * (q - p))
 
 
 def simhash_pairs(about: DataFrame) -> DataFrame:
@@ -211,8 +212,9 @@ def links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: Fractio
         if last:
             other = at
         else:
-            # a number per node and round, the same in all buckets
-            chosen = F.struct(F.xxhash64("node", F.lit(number)).alias("by"), "node", "n", "place", "size", "root")
+            # first the node with the fewest rare shingles, which is in the middle of a group of near copies; then by a number per node and round, the same in all buckets
+            by = F.col("place") if number == 1 else F.lit(0)
+            chosen = F.struct(by.alias("first"), F.xxhash64("node", F.lit(number)).alias("by"), "node", "n", "place", "size", "root")
             other = at.groupBy("key", "slot").agg(F.min(chosen).alias("c")).select("key", "slot", "c.*")
         meet = F.expr("x.key = y.key AND x.slot = y.slot AND x.root <> y.root AND x.slot = least(x.size, y.size)" + (" AND x.node < y.node" if last else ""))
         pairs = at.alias("x").join(other.alias("y"), meet & fits(similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()

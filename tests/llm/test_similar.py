@@ -63,3 +63,26 @@ def test_parities_of_different_lengths(spark):
     given = [(1, " ".join(words[:500])), (2, " ".join(words[:540])), (3, " ".join(words[60:] + words[:30]))]
     got = similar.near_groups(spark.createDataFrame(given, "doc_id long, text string")).select("doc", "component").collect()
     assert sort(got) == sort(zip((1, 2, 3), brute.groups(given), strict=True))
+
+
+def test_a_group_of_near_copies_is_not_paired_off(spark, monkeypatch):
+    """Texts edited in up to ten words, one text in the middle; the pairs compared grew with the square of the group."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    middle, given = [word() for _ in range(150)], []
+    for i in range(300):
+        copy = list(middle)
+        for _ in range(r.randint(0, 10) if i else 0):
+            copy[r.randrange(len(copy))] = word()
+        given.append((i, " ".join(copy)))
+    possible, made = similar.possible, []
+
+    def counted(pairs, about, similarity):
+        made.append(pairs.count())
+        return possible(pairs, about, similarity)
+
+    monkeypatch.setattr(similar, "possible", counted)
+    monkeypatch.setattr(similar, "OFTEN", 4)
+    got = similar.near_groups(spark.createDataFrame(given, "doc_id long, text string")).select("doc", "component").collect()
+    assert sort(got) == sort((d, c) for (d, _), c in zip(given, brute.groups(given), strict=True))
+    assert sum(made) < 12 * len(given), made
