@@ -36,13 +36,17 @@ CHUNK, BATCH = 1 << 20, 1 << 19
 
 @dataclass(frozen=True)
 class Reads:
-    """Reads with the columns that identify them: `unit` within which a k-mer counts once, `key` of one read."""
+    """Reads with the columns that identify them: `unit` within which a k-mer counts once, `key` of one read.
+
+    together: the rows of a unit already come one after another, in one partition.
+    """
 
     df: DataFrame
     unit: tuple[str, ...] = ("doc_id", "frag")
     key: tuple[str, ...] = ("doc_id", "frag")
     bases: str = "bases"
     quals: str | None = None
+    together: bool = False
 
 
 @dataclass(frozen=True)
@@ -72,9 +76,9 @@ def _slices(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[pa.RecordBatc
 
 def _passes(q: pa.Array, data: np.ndarray, offsets: np.ndarray, read: np.ndarray, place: np.ndarray, k: int, min_quality: int, min_prob: float) -> np.ndarray:
     """Which windows pass minq and minprob, given their reads' qualities q; a read without any has quality 50."""
-    filled = pa.array([x if x is not None else "I" * n for x, n in zip(q.to_pylist(), np.diff(offsets).tolist(), strict=True)], pa.string())
+    filled = pa.array([x if x is not None else "I" * n for x, n in zip(q.to_pylist(), np.diff(offsets).tolist(), strict=True)], pa.string()) if q.null_count else q
     qual, _ = _flat(filled)
-    has = np.array(q.is_valid().to_pylist(), bool)[read]
+    has = q.is_valid().to_numpy(zero_copy_only=False)[read]
     return np.where(has, kmers.quality_filter(qual, data, offsets, read, place, k, min_quality, min_prob), min_quality <= 50)
 
 
@@ -207,7 +211,7 @@ def _answered(reads: Reads, counts: Counted, carry: tuple[str, ...]) -> DataFram
         cut = _runs(reads, c, buckets, names, False).unionByName(_runs(counts.reads, c, buckets, None, True))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, "bucket"):
+        for rows in groups(batches, "bucket"):
             if rows.column("bucket")[0].as_py() < 0:
                 yield rows
                 continue
@@ -216,7 +220,7 @@ def _answered(reads: Reads, counts: Counted, carry: tuple[str, ...]) -> DataFram
             yield rows.filter(pc.greater_equal(rows.column("batch"), 0))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, "batch"):  # the head comes first, as its bucket is negative
+        for rows in groups(batches, "batch"):  # the head comes first, as its bucket is negative
             if rows.column("bucket")[0].as_py() >= 0 or pc.count_distinct(rows.column("check")).as_py() > 1:
                 raise ValueError("packs of a batch of reads do not fit: the reads came in another order when a lost stage was run again")
             head, packs = rows.slice(0, 1), rows.column("pack").to_pylist()
@@ -233,7 +237,7 @@ def _answered(reads: Reads, counts: Counted, carry: tuple[str, ...]) -> DataFram
     return answers.repartition(n, "batch").sortWithinPartitions("batch", "bucket").mapInArrow(back, schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+def groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """Rows sorted by a column, as one batch per value."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -250,7 +254,7 @@ def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordB
         yield pa.concat_batches(held)
 
 
-def _whole_units(batches: Iterator[pa.RecordBatch], unit: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def whole_units(batches: Iterator[pa.RecordBatch], unit: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches that hold whole units, of rows sorted by unit, with a number per unit."""
 
     def numbers(rows: pa.RecordBatch) -> np.ndarray:
@@ -287,12 +291,12 @@ def _runs(reads: Reads, c: Config, buckets: int, names: list[str] | None, counts
     units = list(reads.unit) if counts and rdk and not is_row_unit(reads) else []
     kept = list(dict.fromkeys([*(names or []), *units]))
     source = reads.df.select(*kept, F.col(reads.bases).alias("__b"), F.length(reads.bases).alias("__n"), *([F.col(quals).alias("__q")] if quals else []))
-    if units:
+    if units and not reads.together:
         source = source.repartition(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), *units).sortWithinPartitions(*units)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        each = _whole_units(batches, units) if units else ((b, np.arange(b.num_rows)) for whole in batches for b in _slices(whole, BATCH))
+        each = whole_units(batches, units) if units else ((b, np.arange(b.num_rows)) for whole in batches for b in _slices(whole, BATCH))
         for number, (batch, unit) in enumerate(each):
             data, offsets = _flat(batch.column("__b"))
             read, place, key = kmers.batch_keys(data, offsets, k)

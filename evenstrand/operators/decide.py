@@ -75,12 +75,13 @@ def depth_bin(depth: Column, c: Config) -> Column:
     return F.when(depth <= c.low_bin, "low").when(depth >= c.high_bin, "high").otherwise("mid")
 
 
-def decide_pairs(scored: DataFrame, c: Config, *pair: str, first: bool = False) -> DataFrame:
-    """One row per pair: pair columns, depth, bad, keep, bin. A mate that is missing has no say."""
+def decide_pairs(scored: DataFrame, c: Config, *pair: str, first: bool = False, by: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per pair: pair columns, depth, bad, keep, bin, and more aggregates. A mate that is missing has no say. by: what tells pairs apart, if not the pair columns."""
     combine = F.min if c.use_lower_depth else F.max
     most = max(c.max_depth or c.target, c.target)
     both = F.min(F.col("bad")) if c.require_both_bad else F.max(F.col("bad"))
-    pairs = scored.groupBy(*pair).agg(combine("depth").alias("depth"), both.alias("bad"), F.sum("length").alias("length"), F.max(~too_short(c)).alias("enough"))
+    more = (*more, *(F.first(x).alias(x) for x in pair if by and x not in by))
+    pairs = scored.groupBy(*(by or pair)).agg(combine("depth").alias("depth"), both.alias("bad"), F.sum("length").alias("length"), F.max(~too_short(c)).alias("enough"), *more)
     target = F.lit(c.target)
     if first:  # intermediate passes aim higher for bad pairs between the two fractions
         target = F.when(F.col("bad"), F.greatest(F.lit(1), F.floor(F.lit(c.target * c.target_bad_low)))).otherwise(F.floor(F.lit(c.target * c.target_bad_high)))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenstrand.config import Config
-from evenstrand.operators import counting, countup, decide, ecc, hists, sketch, trim
+from evenstrand.operators import batches, counting, countup, decide, ecc, hists, sketch, trim
 from evenstrand.plans import peaks
 from evenstrand.sources import reads as source
 from evenstrand.sources import sinks
@@ -40,15 +42,28 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete what save wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    jvm, files = spark.sparkContext._jvm, table.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @dataclass
 class Result:
-    """decided: every read with keep, bin, uncorrected, depth; counts: the input's k-mers; tables by name; summary numbers."""
+    """decided: every read with keep, bin, uncorrected, depth; counts: the input's k-mers, made when first asked for; tables by name; summary numbers."""
 
     decided: DataFrame
-    counts: DataFrame
+    count: Callable[[], DataFrame]
     tables: dict[str, DataFrame] = field(default_factory=dict)
     summary: dict[str, int] = field(default_factory=dict)
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        return self.count()
+
     @property
     def kept(self) -> DataFrame:
         return self.decided.where("keep")
@@ -105,8 +120,47 @@ def _repair(reads: DataFrame) -> DataFrame:
     return long
 
 
-def normalize(reads: DataFrame, c: Config, extra: DataFrame | None = None) -> Result:
-    """Normalise reads (file_idx, pair_id, mate, id, bases, quals, ...). extra: reads that only add k-mers."""
+def counted_reads(current: DataFrame, c: Config, extra: DataFrame | None, number: int, *more: str) -> DataFrame:
+    """The reads whose k-mers pass `number` counts; more: columns that, with an extra's, are -1 there."""
+    table = current.where(F.col("pair_id") < c.table_reads) if c.table_reads is not None and number == 1 else current
+    if extra is not None and number == 1:
+        others = extra.select((-1 - F.col("file_idx")).alias("file_idx"), "pair_id", "mate", "bases", "quals", *(F.lit(-1).cast("long").alias(x) for x in more))
+        table = table.select(*KEY, "bases", "quals", *more).unionByName(others)
+    return table
+
+
+def passes_by_batches(reads: DataFrame, c: Config, extra: DataFrame | None, together: bool) -> DataFrame:
+    """decided, without a table of counts and without joins of reads: pairs lie as batches, their windows travel as runs, decisions go back to the batches."""
+    held = save(batches.pack(reads, PAIR, ["mate"], together), "batches")
+    for number in range(1, c.passes + 1):
+        last = number == c.passes
+        current = batches.opened(held, reads.schema)
+        for _ in range(number - 1):
+            current = trim.trim(current, c)
+        table, work = counted_reads(current, c, extra, number, batches.UNIT), trim.trim(current, c)
+        own = extra is None or number > 1
+        counted = counting.Counted(counting.Reads(table, (batches.UNIT,) if own else (batches.UNIT, *PAIR), (batches.UNIT, "mate"), quals="quals", together=own), c)
+        scored = decide.score(counting.coverage(counting.Reads(work, (batches.UNIT,), (batches.UNIT, "mate")), counted, c, tuple(PAIR)), c)
+        judge = c.replace(target=c.target_first) if c.target_first and not last else c
+        own_depths = tuple(F.max(F.when(which, F.col("depth"))).alias(name) for name, which in (("__1", F.col("mate") == 1), ("__2", F.col("mate") != 1)))
+        pairs = decide.decide_pairs(scored, judge, *PAIR, first=not last, by=(batches.UNIT,), more=own_depths)
+        pairs = save(pairs.select(batches.UNIT, "depth", "bad", "keep", "bin", "__1", "__2"), "pairs")
+        if not last:
+            whole, held = held, save(batches.where(held, pairs, "keep"), "batches")
+            forget(whole)
+            continue
+        decided = batches.with_decisions(held, reads.schema, pairs)
+        for _ in range(number):
+            decided = trim.trim(decided, c)
+        others = [x for x in reads.columns if x not in KEY]
+        read_depth = F.when(F.col("mate") == 1, F.col("__1")).otherwise(F.col("__2")).alias("read_depth")
+        decided = save(decided.select(*KEY, *others, F.lit(0).alias("n_errors"), read_depth, "depth", "bad", "keep", "bin", F.lit(False).alias("uncorrected")), "decided")
+        forget(held)
+    return decided
+
+
+def normalize(reads: DataFrame, c: Config, extra: DataFrame | None = None, together: bool = False) -> Result:
+    """Normalise reads (file_idx, pair_id, mate, id, bases, quals, ...). extra: reads that only add k-mers. together: the mates of a pair come one after another, in one partition."""
     if c.overlap_auto:
         c = c.replace(overlap=_overlaps_often(reads), overlap_auto=False)
     current, first_counts, decided = reads, None, None
@@ -117,12 +171,12 @@ def normalize(reads: DataFrame, c: Config, extra: DataFrame | None = None) -> Re
         if not c.add_bad_countup:
             by_pair = by_pair.where("NOT hopeless")
         decided = reads.join(by_pair.select(*PAIR, "keep"), PAIR).withColumns({"bin": F.lit("mid"), "uncorrected": F.lit(False), "depth": F.lit(0), "read_depth": F.lit(0), "bad": F.lit(False), "n_errors": F.lit(0)})
-        return Result(save(decided, "decided"), counts)
-    for number in range(1, c.passes + 1):
-        table = current.where(F.col("pair_id") < c.table_reads) if c.table_reads is not None and number == 1 else current
-        if extra is not None and number == 1:
-            table = table.select(*KEY, "bases", "quals").unionByName(extra.select((-1 - F.col("file_idx")).alias("file_idx"), "pair_id", "mate", "bases", "quals"))
-        counts = count_table(as_reads(table), c)
+        return Result(save(decided, "decided"), lambda: counts)
+    by_batches = not (c.prefilter or c.ecc_first or c.ecc_final)  # a prefiltered table, or one asked in many rounds, is made once
+    if by_batches:
+        decided = passes_by_batches(reads, c, extra, together)
+    for number in range(1, 1 if by_batches else c.passes + 1):
+        counts = count_table(as_reads(counted_reads(current, c, extra, number)), c)
         first_counts = first_counts if first_counts is not None else counts
         last = number == c.passes
         decided = save(one_pass(current, counts, c, first=not last), "decided")
@@ -134,7 +188,7 @@ def normalize(reads: DataFrame, c: Config, extra: DataFrame | None = None) -> Re
 
         errors = ("e1", "e2") if c.ecc else (None, None)
         decided = decided.join(wide, PAIR).withColumn("id", renamed("pair_id", "d1", "d2", *errors)).drop("d1", "d2", "e1", "e2")
-    return Result(decided, first_counts)
+    return Result(decided, lambda: first_counts if first_counts is not None else count_table(as_reads(counted_reads(reads, c, extra, 1)), c))
 
 
 def _overlaps_often(reads: DataFrame) -> bool:

@@ -37,7 +37,7 @@ def one_unit(df: DataFrame) -> counting.Reads:
 
 
 def mates(spark: SparkSession, sf: str) -> DataFrame:
-    """The reads as pairs of neighbours: file_idx, pair_id, mate, id, bases, quals, and doc_id, frag."""
+    """The reads as pairs of neighbours, one after another as they are cut from a text: file_idx, pair_id, mate, id, bases, quals, and doc_id, frag."""
     r = reads(spark, sf)
     pair = (F.col("doc_id") * 100_000 + F.expr("frag div 2")).alias("pair_id")
     name = F.concat_ws(":", F.concat(F.lit("doc"), "doc_id"), F.substring("bases", 1, 3)).alias("id")
@@ -218,7 +218,7 @@ def multipass_2(spark, sf):
 def normalized_pairs(spark, sf):
     """The whole plan: two passes over pairs, quality filter, both decisions."""
     c = Config(target=2, max_depth=3, min_depth=1, min_kmers=10)
-    return plan.normalize(mates(spark, sf), c).decided.groupBy("keep", "bin").agg(F.count("*").alias("reads"), F.sum(F.length("bases")).alias("bases"))
+    return plan.normalize(mates(spark, sf), c, together=True).decided.groupBy("keep", "bin").agg(F.count("*").alias("reads"), F.sum(F.length("bases")).alias("bases"))
 
 
 def count_up(spark, sf):

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from evenstrand import queries
 from evenstrand.config import Config
 from evenstrand.functions import kmers, runs
-from evenstrand.operators import countup, counting, ecc, hists
+from evenstrand.operators import countup, counting, decide, ecc, hists, trim
 from evenstrand.plans import normalize as plan
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +155,47 @@ def test_count_up_deals_windows_once(spark):
     c = Config(k=21, target=2, min_quality=0, min_prob=0.0, min_kmers=0, high_thresh=10**6)
     kept = countup.count_up(r, counting.Counted(r, c), c, save).where("keep").count()
     assert kept == 2 and sizes["seen"][0] == 8 and sizes["texts"] == [1]
+
+
+@pytest.mark.parametrize("together,more", [(False, {}), (True, {}), (False, {"trim_right": True, "trim_quality": 10.0}), (True, {"target_first": 1, "passes": 3, "rdk": False})])
+def test_passes_over_pairs(spark, monkeypatch, together, more):
+    """Reads were joined with a table of counts and with decisions in each pass, which took more disk than 4 times the input."""
+    c = Config(**{"k": 21, "target": 2, "max_depth": 3, "min_depth": 1, "min_kmers": 5, "min_quality": 5, "min_prob": 0.0} | more)
+    rows = [(0, p + 100 * n, m, f"r{p}", t, q) for n in range(4) for p, m, t, q in odd_reads() if t is not None]
+    schema = "file_idx int, pair_id long, mate int, id string, bases string, quals string"
+    df = spark.createDataFrame(rows, schema)
+    names, plans, save = [], [], plan.save
+
+    def noted(df, name):
+        names.append(name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+
+    monkeypatch.setattr(plan, "save", noted)
+    given = df.coalesce(1).sortWithinPartitions("pair_id", "mate") if together else df.repartition(5, "mate")
+    got = plan.normalize(given, c, together=together).decided
+    assert got.columns == [*plan.KEY, "id", "bases", "quals", "n_errors", "read_depth", "depth", "bad", "keep", "bin", "uncorrected"]
+    got = {tuple(r[x] for x in ("pair_id", "mate", "id", "bases", "quals", "read_depth", "depth", "keep", "bin")) for r in got.collect()}
+    assert "counts" not in names and not any("Join" in x for x in plans)
+    for number in range(1, c.passes + 1):
+        first = number < c.passes
+        cut = [tuple(r) for r in trim.trim(spark.createDataFrame(rows, schema), c).collect()]
+        seen = expected([(r[1], r[2], r[4], r[5]) for r in rows], c, lambda x: x[0], True)
+        deep = {x: d for (p, m, t, _), ds in zip([(r[1], r[2], r[4], r[5]) for r in rows], seen.values(), strict=True) for x, d in zip(keys(t, c.k), ds, strict=True)}
+        cov = [(*r[:3], len(r[4]), [-1 if x < 0 else deep[x] for x in keys(r[4], c.k)]) for r in cut]
+        scored = decide.score(spark.createDataFrame(cov, "file_idx int, pair_id long, mate int, length int, cov array<long>"), c)
+        judge = c.replace(target=c.target_first) if first and c.target_first else c
+        pairs = {r.pair_id: r for r in decide.decide_pairs(scored, judge, *plan.PAIR, first=first).collect()}
+        own = {(r.pair_id, r.mate): r.depth for r in scored.collect()}
+        if first:
+            rows = [r for r in cut if pairs[r[1]].keep]
+    assert got == {(*r[1:6], own[r[1:3]], pairs[r[1]].depth, pairs[r[1]].keep, pairs[r[1]].bin) for r in cut}
+    assert 0 < len(got) < given.count()
+
+
+def test_counts_of_a_normalisation_are_made_when_asked(spark):
+    df = spark.createDataFrame([(0, i, 1, "r", "ACGTTGCA", "IIIIIIII") for i in range(3)], "file_idx int, pair_id long, mate int, id string, bases string, quals string")
+    extra = df.where("pair_id < 2")
+    result = plan.normalize(df, Config(k=8, passes=1, min_quality=0, min_prob=0.0, keep_all=True), extra)
+    assert [(r.read_depth, r.keep) for r in result.decided.collect()] == [(5, True)] * 3
+    assert "counts" not in vars(result) and [r.depth for r in result.counts.collect()] == [5]
