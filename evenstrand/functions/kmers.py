@@ -163,14 +163,16 @@ def batch_keys(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
 
 def quality_filter(quals: np.ndarray, bases: np.ndarray, offsets: np.ndarray, read: np.ndarray, place: np.ndarray, k: int, min_quality: int, min_prob: float) -> np.ndarray:
     """Which windows hold only bases of min_quality or more and are right with min_prob or more (products by logarithm)."""
+    # bases alike in quality are alike in chance; where the worst base would do k times, all windows pass
+    worst = int(quals.min(initial=255)) - 33
+    chances = np.concatenate([np.zeros(34), np.log1p(-np.power(10.0, -np.arange(1, 223) / 10.0))])
+    if worst >= max(1, min_quality) and (min_prob <= 0 or k * chances[worst + 33] >= np.log(min_prob) + 1e-6):
+        return np.ones(len(read), bool)
     at = offsets[:-1][read] + place
     q = quals.astype(np.int64) - 33
     low = np.concatenate([[0], np.cumsum(q < min_quality)])
     keep = low[at + k] == low[at]
     if min_prob > 0:
-        zero = q <= 0
-        chance = np.zeros(len(q))
-        chance[~zero] = np.log1p(-np.power(10.0, -q[~zero] / 10.0))
-        sums, zeros = np.concatenate([[0.0], np.cumsum(chance)]), np.concatenate([[0], np.cumsum(zero)])
+        sums, zeros = np.concatenate([[0.0], np.cumsum(chances[quals])]), np.concatenate([[0], np.cumsum(q <= 0)])
         keep &= (zeros[at + k] == zeros[at]) & (sums[at + k] - sums[at] >= np.log(min_prob) - 1e-9)
     return keep

@@ -98,9 +98,10 @@ def split(data: np.ndarray, read: np.ndarray, place: np.ndarray, offsets: np.nda
     per = np.add.reduceat(size, cuts[:-1]) if len(there) else np.zeros(0, np.int64)
     room = -(-per // 4) * 4
     base = np.cumsum(room) - room
-    to = np.repeat(base - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+    small = np.int32 if int(room.sum()) + len(data) < 1 << 31 else np.int64
+    step = np.arange(int(per.sum()), dtype=small)
     codes = np.zeros(int(room.sum()), np.uint8)
-    codes[to] = kmers.CODES[data][np.repeat(at[head][order] - (np.cumsum(size) - size), size) + np.arange(len(to))]
+    codes[np.repeat((base - (np.cumsum(per) - per)).astype(small), per) + step] = kmers.CODES[data][np.repeat((at[head][order] - (np.cumsum(size) - size)).astype(small), size) + step]
     packed = kmers.packed(codes).tobytes()
     runs = (many[order] | np.where(counts[head][order], COUNTED, 0)).astype(np.uint8).tobytes()
     packs = {}

@@ -60,7 +60,7 @@ class Counted:
         return count_kmers(self.reads, self.c)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of texts end to end, null as empty, and each text's offset."""
     column = column.fill_null("").cast(pa.large_string())
     _, ends, data = column.buffers()
@@ -68,7 +68,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _slices(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     rows = max(1, int(chunk / max(1, batch.nbytes / max(1, batch.num_rows))))
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
@@ -77,7 +77,7 @@ def _slices(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[pa.RecordBatc
 def _passes(q: pa.Array, data: np.ndarray, offsets: np.ndarray, read: np.ndarray, place: np.ndarray, k: int, min_quality: int, min_prob: float) -> np.ndarray:
     """Which windows pass minq and minprob, given their reads' qualities q; a read without any has quality 50."""
     filled = pa.array([x if x is not None else "I" * n for x, n in zip(q.to_pylist(), np.diff(offsets).tolist(), strict=True)], pa.string()) if q.null_count else q
-    qual, _ = _flat(filled)
+    qual, _ = flat(filled)
     has = q.is_valid().to_numpy(zero_copy_only=False)[read]
     return np.where(has, kmers.quality_filter(qual, data, offsets, read, place, k, min_quality, min_prob), min_quality <= 50)
 
@@ -97,8 +97,8 @@ def windows(reads: Reads, c: Config, filtered: bool, once: bool = False, buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
-                data, offsets = _flat(batch.column("__b"))
+            for batch in slices(whole):
+                data, offsets = flat(batch.column("__b"))
                 read, place, key = kmers.batch_keys(data, offsets, k)
                 keep = np.ones(len(key), bool)
                 if filtered:
@@ -125,8 +125,8 @@ def unit_counts(reads: Reads, c: Config) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
-                data, offsets = _flat(batch.column("__b"))
+            for batch in slices(whole):
+                data, offsets = flat(batch.column("__b"))
                 read, _, key = kmers.batch_keys(data, offsets, k)
                 read, key = read[key >= 0], key[key >= 0]
                 order = np.lexsort((key, read))
@@ -267,7 +267,7 @@ def whole_units(batches: Iterator[pa.RecordBatch], unit: list[str]) -> Iterator[
 
     held = None
     for whole in batches:
-        for batch in _slices(whole, BATCH):
+        for batch in slices(whole, BATCH):
             rows = batch if held is None else pa.concat_batches([held, batch])
             number = numbers(rows)
             last = int(np.searchsorted(number, number[-1]))
@@ -296,9 +296,9 @@ def _runs(reads: Reads, c: Config, buckets: int, names: list[str] | None, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        each = whole_units(batches, units) if units else ((b, np.arange(b.num_rows)) for whole in batches for b in _slices(whole, BATCH))
+        each = whole_units(batches, units) if units else ((b, np.arange(b.num_rows)) for whole in batches for b in slices(whole, BATCH))
         for number, (batch, unit) in enumerate(each):
-            data, offsets = _flat(batch.column("__b"))
+            data, offsets = flat(batch.column("__b"))
             read, place, key = kmers.batch_keys(data, offsets, k)
             mark = key >= 0
             if not counts:
@@ -377,8 +377,8 @@ def _marked_windows(reads: Reads, c: Config) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _slices(whole):
-                read, place, key = kmers.batch_keys(*_flat(batch.column("__b")), k)
+            for batch in slices(whole):
+                read, place, key = kmers.batch_keys(*flat(batch.column("__b")), k)
                 n, h = batch.column("__n").to_numpy(), batch.column("__h").to_numpy()
                 key = np.where(key < 0, -1 - spread(h[read], place), key)
                 heads = -1 - (spread(h, np.full(len(h), -1)) | n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ def one_unit(df: DataFrame) -> counting.Reads:
     return counting.Reads(df)
 
 
-def mates(spark: SparkSession, sf: str) -> DataFrame:
+def mates(spark: SparkSession, sf: str, cut: Callable[[DataFrame], DataFrame] = source.reads_of_documents) -> DataFrame:
     """The reads as pairs of neighbours, one after another as they are cut from a text: file_idx, pair_id, mate, id, bases, quals, and doc_id, frag."""
-    r = reads(spark, sf)
+    r = cut(documents(spark, sf))
     pair = (F.col("doc_id") * 100_000 + F.expr("frag div 2")).alias("pair_id")
     name = F.concat_ws(":", F.concat(F.lit("doc"), "doc_id"), F.substring("bases", 1, 3)).alias("id")
     return r.select(F.lit(0).alias("file_idx"), pair, (F.col("frag") % 2 + 1).cast("int").alias("mate"), name, "bases", "quals", "doc_id", "frag")
@@ -218,7 +220,7 @@ def multipass_2(spark, sf):
 def normalized_pairs(spark, sf):
     """The whole plan: two passes over pairs, quality filter, both decisions."""
     c = Config(target=2, max_depth=3, min_depth=1, min_kmers=10)
-    return plan.normalize(mates(spark, sf), c, together=True).decided.groupBy("keep", "bin").agg(F.count("*").alias("reads"), F.sum(F.length("bases")).alias("bases"))
+    return plan.normalize(mates(spark, sf, source.reads_by_kernel), c, together=True).decided.groupBy("keep", "bin").agg(F.count("*").alias("reads"), F.sum(F.length("bases")).alias("bases"))
 
 
 def count_up(spark, sf):

@@ -8,13 +8,18 @@ whole file.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenstrand.config import Config
 from evenstrand.functions import bases
+from evenstrand.operators import counting
+from evenstrand.ship import ship
 
 SCHEMA = T.StructType([T.StructField("numeric_id", T.LongType()), T.StructField("id", T.StringType()), T.StructField("bases", T.StringType()), T.StructField("quals", T.StringType())])
 FASTA = ("fa", "fasta", "fas", "fna", "ffn", "frn", "fsa", "seq")
@@ -144,14 +149,42 @@ def spool_stdin(stream, path: str) -> str:
 
 # reads cut from texts
 
+AS_BASES, AS_QUALS = "ACGTACGTACGTACGTACGTACGTAC", "56789:;<=>?@ABCDEFGHIJKLMN"
+
 
 def reads_of_documents(docs: DataFrame, size: int = 100, least: int = 31) -> DataFrame:
     """Texts as reads: letters A-Z become ACGT by turns, cut every `size`; doc_id, frag, bases, quals."""
     letters = F.regexp_replace("text", "[^A-Za-z]", "")
     up = F.upper(letters)
-    seq = F.translate(up, bases.UPPER, "ACGTACGTACGTACGTACGTACGTAC")
-    q = F.translate(up, bases.UPPER, "56789:;<=>?@ABCDEFGHIJKLMN")
+    seq = F.translate(up, bases.UPPER, AS_BASES)
+    q = F.translate(up, bases.UPPER, AS_QUALS)
     one = docs.select("doc_id", seq.alias("s"), q.alias("q")).where(F.length("s") >= least)
     cut = lambda c: F.regexp_extract_all(c, F.lit(f".{{1,{size}}}"), F.lit(0))  # noqa: E731  # one walk over the text
     pieces = one.select("doc_id", F.posexplode(F.arrays_zip(cut("s").alias("bases"), cut("q").alias("quals"))).alias("frag", "x"))
     return pieces.select("doc_id", F.col("frag").cast("long").alias("frag"), "x.bases", "x.quals").where(F.length("bases") >= least)
+
+
+def reads_by_kernel(docs: DataFrame, size: int = 100, least: int = 31) -> DataFrame:
+    """reads_of_documents, cut from the bytes of many texts at once. A text's reads come one after another."""
+    ship(docs.sparkSession)
+    tables = np.zeros((2, 256), np.uint8)
+    for table, letters in zip(tables, (AS_BASES, AS_QUALS), strict=True):
+        for one in (bases.UPPER, bases.LOWER):
+            table[np.frombuffer(one.encode(), np.uint8)] = np.frombuffer(letters.encode(), np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in counting.slices(whole):
+                data, offsets = counting.flat(batch.column("text"))
+                is_letter = tables[0][data] > 0
+                letters, ends = data[is_letter], np.concatenate([[0], np.cumsum(is_letter)])[offsets]
+                n = np.diff(ends)
+                pieces = -(-n // size)
+                text = np.repeat(np.arange(len(n)), pieces)
+                frag = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                cuts = pa.py_buffer(np.append(ends[:-1][text] + size * frag, len(letters)).astype(np.int32))
+                long = pa.array(np.minimum(size, n[text] - size * frag) >= least)
+                made = [pa.StringArray.from_buffers(len(text), cuts, pa.py_buffer(table[letters])) for table in tables]
+                yield pa.RecordBatch.from_arrays([x.filter(long) for x in (batch.column("doc_id").take(pa.array(text)), pa.array(frag), *made)], ["doc_id", "frag", "bases", "quals"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(x, t()) for x, t in (("frag", T.LongType), ("bases", T.StringType), ("quals", T.StringType)))]))
