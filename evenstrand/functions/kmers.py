@@ -78,9 +78,10 @@ for _i, _pair in enumerate(("Aa", "Cc", "Gg", "TtUu")):
         CODES[ord(_c)] = _i
 
 
-def _codes(base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _codes(base: np.ndarray, k: int, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Two-bit codes of every run of k bases and of its reverse complement, by doubling."""
-    f, r = base.astype(np.uint64), (3 - base.astype(np.int64)).astype(np.uint64)
+    f = base.astype(kind)
+    r = kind(3) - f
     have, fs, rs = 1, f, r
     out_f = out_r = None
     done, left = 0, k
@@ -90,14 +91,14 @@ def _codes(base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
                 out_f, out_r = fs, rs
             else:
                 n = len(fs) - done
-                out_f = (out_f[:n] << np.uint64(2 * have)) | fs[done : done + n]
-                out_r = out_r[:n] | (rs[done : done + n] << np.uint64(2 * done))
+                out_f = (out_f[:n] << kind(2 * have)) | fs[done : done + n]
+                out_r = out_r[:n] | (rs[done : done + n] << kind(2 * done))
             done += have
         left >>= 1
         if not left:
             return out_f, out_r
         n = len(fs) - have
-        fs, rs = (fs[:n] << np.uint64(2 * have)) | fs[have:], rs[:n] | (rs[have:] << np.uint64(2 * have))
+        fs, rs = (fs[:n] << kind(2 * have)) | fs[have:], rs[:n] | (rs[have:] << kind(2 * have))
         have *= 2
 
 
@@ -116,19 +117,28 @@ def packed(codes: np.ndarray) -> np.ndarray:
 
 def packed_keys(four: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Keys of the windows of up to 31 bases that begin at these places of packed codes."""
+    return np.maximum(*packed_strands(four, at, k)).view(np.int64)
+
+
+def packed_strands(four: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two-bit codes of these windows, and of their reverse complements."""
     padded = np.concatenate([four, np.zeros(9, np.uint8)])
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").ravel().astype(np.uint64)
     byte, shift = at >> 2, ((at & 3) << 1).astype(np.uint64)
     f = eight[byte] << shift
     if 2 * k + 6 > 64:
         f |= padded[byte + 8].astype(np.uint64) >> (np.uint64(8) - shift)
-    unused = np.uint64(64 - 2 * k)
-    f >>= unused
+    f >>= np.uint64(64 - 2 * k)
+    return f, reverse(f, k)
+
+
+def reverse(f: np.ndarray, k: int) -> np.ndarray:
+    """The reverse complements of k-mers of up to 31 bases, both in two-bit codes."""
     r = ~f
     two, four_bits = np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
     r = (r >> np.uint64(2)) & two | (r & two) << np.uint64(2)
     r = (r >> np.uint64(4)) & four_bits | (r & four_bits) << np.uint64(4)
-    return np.maximum(f, r.byteswap() >> unused).view(np.int64)
+    return r.byteswap() >> np.uint64(64 - 2 * k)
 
 
 def batch_keys(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,9 +151,12 @@ def batch_keys(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
         return read, place, np.zeros(0, np.int64)
     at = offsets[:-1][read] + place
     base = CODES[data]
-    bad = np.concatenate([[0], np.cumsum(base > 3)])
-    valid = bad[at + k] == bad[at]
-    base = np.minimum(base, 3)
+    bad = base > 3
+    clean = not bad.any()
+    if not clean:
+        bad = np.concatenate([[0], np.cumsum(bad)])
+        valid = bad[at + k] == bad[at]
+        base = np.minimum(base, 3)
     size, words = layout(k)
     if words == 1:
         keys = packed_keys(packed(base), at, k)
@@ -158,7 +171,8 @@ def batch_keys(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
             less |= open_ & (x < y)
             open_ &= x == y
         keys = np.where(less, _hash(back), _hash(ahead)) & np.uint64(2**63 - 1)
-    return read, place, np.where(valid, keys.astype(np.int64), -1)
+    keys = keys.astype(np.int64, copy=False)
+    return read, place, keys if clean else np.where(valid, keys, -1)
 
 
 def quality_filter(quals: np.ndarray, bases: np.ndarray, offsets: np.ndarray, read: np.ndarray, place: np.ndarray, k: int, min_quality: int, min_prob: float) -> np.ndarray:

@@ -55,6 +55,11 @@ def pack(reads: DataFrame, unit: list[str], order: list[str], together: bool = F
 
 def opened(held: DataFrame, schema: T.StructType) -> DataFrame:
     """The reads of batches, with the number of their unit; units stay together."""
+    return read_packs(held, T.StructType([*schema, T.StructField(UNIT, T.LongType())]))
+
+
+def read_packs(held: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of packs."""
     ship(held.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +67,7 @@ def opened(held: DataFrame, schema: T.StructType) -> DataFrame:
             for x in batch.column("pack"):
                 yield _opened(x.as_py())
 
-    return held.select("pack").mapInArrow(run, T.StructType([*schema, T.StructField(UNIT, T.LongType())]))
+    return held.select("pack").mapInArrow(run, schema)
 
 
 def _met(held: DataFrame, decided: DataFrame) -> DataFrame:

@@ -224,9 +224,7 @@ def _answered(reads: Reads, counts: Counted, carry: tuple[str, ...]) -> DataFram
             if rows.column("bucket")[0].as_py() >= 0 or pc.count_distinct(rows.column("check")).as_py() > 1:
                 raise ValueError("packs of a batch of reads do not fit: the reads came in another order when a lost stage was run again")
             head, packs = rows.slice(0, 1), rows.column("pack").to_pylist()
-            many = np.frombuffer(zlib.decompress(head.column("more")[0].as_py()), np.uint8)
-            runs_in = len(many) // 3
-            cov = runs.placed(many[:runs_in], many[runs_in:].view(np.uint16) if runs_in % 2 == 0 else np.frombuffer(many[runs_in:].tobytes(), np.uint16), packs[1:])
+            cov = runs.placed(*sizes(head), packs[1:])
             with pa.ipc.open_stream(packs[0]) as stream:
                 (own,) = list(stream)
             offsets = np.concatenate([[0], np.cumsum(own.column("__w").to_numpy())]).astype(np.int32)
@@ -237,6 +235,13 @@ def _answered(reads: Reads, counts: Counted, carry: tuple[str, ...]) -> DataFram
     return answers.repartition(n, "batch").sortWithinPartitions("batch", "bucket").mapInArrow(back, schema)
 
 
+def sizes(head: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and bucket of each run of a batch of reads, from its head."""
+    held = zlib.decompress(head.column("more")[0].as_py())
+    n = len(held) // 3
+    return np.frombuffer(held, np.uint8, n), np.frombuffer(held[n:], np.uint16)
+
+
 def groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """Rows sorted by a column, as one batch per value."""
     held: list[pa.RecordBatch] = []
@@ -278,12 +283,12 @@ def whole_units(batches: Iterator[pa.RecordBatch], unit: list[str]) -> Iterator[
         yield held, numbers(held)
 
 
-def _runs(reads: Reads, c: Config, buckets: int, names: list[str] | None, counts: bool) -> DataFrame:
+def _runs(reads: Reads, c: Config, buckets: int, names: list[str] | None, counts: bool, core: bool = False) -> DataFrame:
     """bucket, batch, check, n, pack, more: the packs of each batch of reads; if named columns are kept, also a head row of negative bucket.
 
     A head's pack holds the named columns, length and number of windows of its reads, its
     `more` the runs' sizes and buckets.  Packs without a head have batch -1.  check is the
-    same in all rows of a batch.  counts: whether these reads' windows count.
+    same in all rows of a batch.  counts: whether these reads' windows count.  core: see buckets_of.
     """
     ship(reads.df.sparkSession)
     k, rdk, min_quality, min_prob = c.k, c.rdk, c.min_quality, c.min_prob
@@ -296,7 +301,7 @@ def _runs(reads: Reads, c: Config, buckets: int, names: list[str] | None, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        each = whole_units(batches, units) if units else ((b, np.arange(b.num_rows)) for whole in batches for b in slices(whole, BATCH))
+        each = whole_units(batches, units) if units else ((b, np.arange(b.num_rows)) for whole in batches for b in slices(whole, 4 * BATCH if core else BATCH))
         for number, (batch, unit) in enumerate(each):
             data, offsets = flat(batch.column("__b"))
             read, place, key = kmers.batch_keys(data, offsets, k)
@@ -307,7 +312,7 @@ def _runs(reads: Reads, c: Config, buckets: int, names: list[str] | None, counts
                 mark &= _passes(batch.column("__q"), data, offsets, read, place, k, min_quality, min_prob)
             if counts and rdk:
                 mark[mark] = runs.first_in_unit(unit[read[mark]], key[mark])
-            many, of, packs = runs.split(data, read, place, offsets, key >= 0, mark, k, buckets)
+            many, of, packs = runs.split(data, read, place, offsets, key >= 0, mark, k, buckets, core)
             rows = [(bucket, -1, 0, n, pack, None) for bucket, (n, pack) in packs.items()]
             if names is not None:
                 head = pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), batch.column("__n"), pa.array(np.bincount(read, minlength=batch.num_rows).astype(np.int32))], [*names, "__n", "__w"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from evenstrand.config import Config
 from evenstrand.functions import kmers
-from evenstrand.operators import counting, trim
+from evenstrand.operators import counting, rounds, trim
 from evenstrand.ship import ship
 
 
@@ -60,8 +60,10 @@ def _deep(tries: DataFrame, counts: DataFrame | counting.Counted, c: Config) ->
     return tries.withColumn("kmer", kmers.key("window", F.lit(1), c.k)).join(counts, "kmer").where(F.col("depth") >= c.ecc_high)
 
 
-def correct(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """reads with corrected bases, n_errors (bases changed) and uncorrected. save writes a table between rounds."""
+def correct(reads: DataFrame, key: list[str], counts: DataFrame | counting.Counted, c: Config, save: Callable[[DataFrame, str], DataFrame], forget: Callable[[DataFrame], None] = lambda table: None) -> DataFrame:
+    """reads with corrected bases, n_errors (bases changed) and uncorrected. save writes a table between rounds, forget deletes one."""
+    if rounds.fits(counts, c):
+        return rounds.correct(reads, counts, c, save, forget)
     state = reads.withColumn("n_errors", F.lit(0))
     for _ in range(c.ecc_limit):
         covered = _covered(state, key, counts, c).withColumn("sites", suspects(F.col("cov"), c)).drop("cov")

@@ -433,14 +433,15 @@ def hist_compare(spark, sf):
 ECC = Config(passes=1, k=21, min_quality=0, min_prob=0.0, ecc=True, ecc_first=True, ecc_final=True, ecc_high=3, ecc_low=1, ecc_ratio=3, ecc_limit=2)
 
 
-def _ecc(spark, sf, *columns):
-    m = mates(spark, sf).select(*plan.KEY, *columns)
+def _ecc(spark, sf, *columns, cut=source.reads_of_documents):
+    m = mates(spark, sf, cut).select(*plan.KEY, *columns)
     return m, counting.Counted(counting.Reads(m, tuple(plan.KEY), tuple(plan.KEY)), ECC)
 
 
 def ecc_correct(spark, sf):
-    m, counts = _ecc(spark, sf, "bases", "quals")
-    return ecc.correct(m, plan.KEY, counts, ECC, plan.save).select("pair_id", "mate", "n_errors", "uncorrected", F.md5(F.col("bases").cast("binary")).alias("bases"))
+    quals = ["quals"] if ECC.ecc_max_quality < 93 else []  # qualities end at 93
+    m, counts = _ecc(spark, sf, "bases", *quals, cut=source.reads_by_kernel)
+    return ecc.correct(m, plan.KEY, counts, ECC, plan.save, plan.forget).select("pair_id", "mate", "n_errors", "uncorrected", F.md5(F.col("bases").cast("binary")).alias("bases"))
 
 
 def mark_errors(spark, sf):

@@ -97,6 +97,73 @@ def test_correction_is_the_same_by_runs_and_by_table(spark):
     assert [x[1] for x in saved[0][6:9]] == [good] * 3
 
 
+def noisy_reads():
+    """Reads of a text with errors, U, N, small letters, qualities of all kinds."""
+    rng = np.random.default_rng(21)
+    good, out = "".join(rng.choice(list("ACGT"), 150)), []
+    for i in range(60):
+        a = int(rng.integers(0, 90))
+        t = list(good[a : a + int(rng.integers(30, 60))])
+        for j in np.flatnonzero(rng.random(len(t)) < 0.04):
+            t[j] = str(rng.choice(list("ACGTACGTUNau")))
+        t = "".join(t)
+        out.append(t if i % 3 else t[::-1].translate(str.maketrans("ACGTU", "TGCAA")))
+    out += [good[:60]] * 4 + [good[:60].lower(), "ACGT" * 12, "ACGT" * 6 + "ACGA" + "ACGT" * 6, "", None, good[:5]]
+    return [(0, i, 1, t, None if t is None or i % 7 == 0 else "".join(chr(33 + x) for x in rng.choice([2, 30, 40], len(t) // 2 if i % 11 == 0 else len(t)))) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("more", [{}, {"ecc_limit": 4}, {"ecc_limit": 0}, {"k": 12, "ecc_limit": 3}, {"k": 8, "correct_left": False}, {"k": 31, "correct_right": False}, {"ecc_max_quality": 30}, {"ecc_high": 2, "ecc_low": 0, "ecc_ratio": 2}, {"k": 6, "ecc_high": 1, "ecc_ratio": 1, "ecc_low": 0}, {"rdk": False, "build_passes": 2}])
+def test_correction_in_rounds(spark, more):
+    """All reads were scored anew in every round, and joined with what to change, which took more time and disk than the limits."""
+    c = queries.ECC.replace(**({"k": 11, "ecc_limit": 2} | more))
+    df = spark.createDataFrame(noisy_reads(), "file_idx int, pair_id long, mate int, bases string, quals string").repartition(3)
+    counted, plans = counting.Counted(counting.Reads(df, tuple(plan.KEY), tuple(plan.KEY)), c), []
+
+    def save(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plan.save(df, name)
+
+    got = ecc.correct(df, plan.KEY, counted, c, save, plan.forget)
+    assert not any("Join" in x for x in plans) and len(plans) == 2 * c.ecc_limit + 2
+    want = ecc.correct(df, plan.KEY, plan.save(counted.table(), "counts"), c, plan.save)
+    assert got.columns == [*plan.KEY, "bases", "quals", "n_errors", "uncorrected"]
+    key = lambda r: r["pair_id"]
+    got, want = sorted(got.collect(), key=key), sorted(want.select(*got.columns).collect(), key=key)
+    assert got == want and len(got) == df.count()
+    if not more:
+        assert {0, 1, 2} <= {r.n_errors for r in got} and {True, False} == {r.uncorrected for r in got}
+
+
+def test_deep_others_of_windows(monkeypatch):
+    """The depths of all k-mers that differ in the first or last base, by trying them all."""
+    texts = [t.upper().replace("U", "T") for *_, t, _ in noisy_reads() if t]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    for k in (8, 11):
+        read, place, key = kmers.batch_keys(data, offsets, k)
+        many, of, packs = runs.split(data, read, place, offsets, key >= 0, key >= 0, k, 3, True)
+        to, found, deep = runs.places(many, of), {}, Counter(key[key >= 0].tolist())
+        for bucket in sorted(packs):
+            whole = runs.judged([packs[bucket]] * 2, k, 0, 6)
+            with monkeypatch.context() as m:
+                m.setattr(runs, "AT_ONCE", 1)
+                for x, y in zip(whole, runs.judged([packs[bucket]] * 2, k, 0, 6), strict=True):
+                    assert np.array_equal(x, y) if isinstance(x, np.ndarray) else x == y
+            assert runs.judged([packs[bucket]], k, 0, 6, whole[2:])[:2] == ([whole[0][0]], [whole[1][0]])
+            for w, side, bits, depth in np.frombuffer(whole[1][0], runs.OTHER).tolist():
+                found[int(to[w]), side] = bits, depth
+            to = to[len(whole[0][0]) - 1 :]
+        want = {}
+        for w in np.flatnonzero(key >= 0).tolist():
+            text = data[offsets[read[w]] + place[w] :][:k].tobytes().decode()
+            back = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            text = max(text, back)  # letters are in the order of their codes
+            for side, at in ((runs.LAST, k - 1), (runs.FIRST, 0)):
+                depths = {b: 2 * deep[keys(text[:at] + b + text[at + 1 :], k)[0]] for b in "ACGT" if b != text[at]}
+                if max(depths.values()) >= 6:
+                    want[w, side] = sum(1 << "ACGT".index(b) for b, d in depths.items() if d == max(depths.values())), max(depths.values())
+        assert found == want and len(want) > 50
+
+
 @pytest.mark.parametrize("k,w,with_ns", [(5, 50, False), (5, 50, True), (3, 20, False), (40, 60, True), (1, 4, False), (9, 5, False)])
 def test_entropy_of_odd_reads(k, w, with_ns):
     """Every window's k-mers were compared with each other, which took too long."""
